@@ -1,0 +1,49 @@
+"""Nearest-in-time pairing by midpoint intervals and a partitioned interval index."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def nearest_in_time(
+    left: DataFrame, right: DataFrame, entity: str, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: float
+) -> DataFrame:
+    """Each left row with the right row of its entity that lies nearest in time, at most `tolerance` seconds away.
+
+    Each right time owns the interval between the midpoints to its neighbours, cut at the tolerance; intervals are spread over cells of
+    (entity, time / 2 tolerance), so a left row meets one cell and a busy entity falls into many. Neighbours farther than twice the
+    tolerance never bound an interval, so the midpoints too are found inside such cells.
+
+    Ties: of equal distances the earlier right time, then the smaller right id. Equal times count (distance 0).
+    Rows with a NULL (or NaN) entity, id or time pair with nothing; left rows without partner are left out. Repeated left ids give one row
+    per distinct time. Result: left_id, right_id, left_time, right_time, distance.
+    """
+    cell = 2.0 * tolerance
+    num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    r = (
+        right.select(F.col(entity).alias("_e"), num(right_time).alias("_t"), F.col(right_id).alias("_rid"))
+        .dropna()
+        .groupBy("_e", "_t")
+        .agg(F.min("_rid").alias("_rid"))
+        .withColumn("_own", F.floor(F.col("_t") / cell))
+    )
+    spread = r.withColumn("_cell", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+    w = Window.partitionBy("_e", "_cell").orderBy("_t")
+    lo, hi = F.lag("_t").over(w), F.lead("_t").over(w)
+    own = spread.select("*", lo.alias("_prev"), hi.alias("_next")).where("_cell = _own")
+    intervals = own.select(
+        F.col("_e"), F.col("_t").alias("_rt"), F.col("_rid"),
+        ((F.col("_prev") + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.col("_next")) / 2).alias("_hi"),
+        F.explode(F.array_distinct(F.array(F.floor((F.col("_t") - tolerance) / cell), F.floor((F.col("_t") + tolerance) / cell)))).alias("_cell"),
+    )
+    lf = left.select(F.col(entity).alias("_e"), num(left_time).alias("_lt"), F.col(left_id).alias("_lid")).dropna().distinct().withColumn("_cell", F.floor(F.col("_lt") / cell))
+    hit = (
+        (F.abs(F.col("_lt") - F.col("_rt")) <= tolerance)
+        & (F.col("_lo").isNull() | (F.col("_lt") > F.col("_lo")))
+        & (F.col("_hi").isNull() | (F.col("_lt") <= F.col("_hi")))
+    )
+    return lf.join(intervals, ["_e", "_cell"]).where(hit).select(
+        F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), F.col("_lt").alias("left_time"), F.col("_rt").alias("right_time"),
+        F.abs(F.col("_lt") - F.col("_rt")).alias("distance"),
+    )
