@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import intervals, nearest, orphans, wide
+from .operators import grid_fill, impute, intervals, nearest, orphans, wide
 from .sources.tables import table
 
 TOLERANCE_S = 259_200.0
@@ -86,13 +86,53 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
     return _fluid(spark, d)[0]
 
 
+def _to_fill(spark: SparkSession, d: str) -> DataFrame:
+    """chartevents with y: the number of measured and setting items, the category's position of text items, NULL where missing."""
+    items = table(spark, d, "d_items").where("kind IN ('measured', 'setting', 'text') AND linksto = 'chartevents'").select("itemid", "kind", "period_s", "categories")
+    word = F.lower(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    at = F.array_position(F.transform("categories", lambda c: F.lower(c)), word)
+    y = F.when(F.col("kind") == "text", F.when(at > 0, at.cast("double"))).otherwise(F.when(~F.isnan("valuenum"), F.col("valuenum")))
+    return table(spark, d, "chartevents").join(items, "itemid").select(
+        F.col("row_id").alias("rid"), F.col("stay_id").alias("entity"), F.col("itemid").alias("grp"), F.col("charttime").alias("t"), F.col("period_s").cast("double").alias("period"), y.alias("y")
+    )
+
+
+def p4_filled(spark: SparkSession, d: str) -> DataFrame:
+    """All filled rows, with the number or the word copied and the donor."""
+    rows = _to_fill(spark, d)
+    items = table(spark, d, "d_items").select(F.col("itemid").alias("grp"), "kind", "categories")
+    text = F.col("kind") == "text"
+    return impute.mean_matching(rows).join(items, "grp").select(
+        F.col("rid").alias("row_id"), F.col("grp").alias("itemid"), F.when(~text, F.col("fill")).alias("valuenum"),
+        F.when(text, F.try_element_at("categories", F.col("fill").cast("int"))).alias("value"), F.col("donor_rid").alias("donor_row_id"), F.col("donor_rid").isNotNull().alias("filled"),
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_filled(spark, d).select("row_id")
+
+
+def p6_grid(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "d_items").where("kind = 'measured' AND linksto = 'chartevents'").select("itemid", "period_s")
+    rows = table(spark, d, "chartevents").select("stay_id", "itemid", "charttime", "valuenum").join(items, "itemid")
+    return grid_fill.regular_grid(rows, "stay_id", "itemid", "charttime", "valuenum", "period_s")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_grid(spark, d).where("filled").select("stay_id", "itemid", "slot")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_wide": p1_wide,
     "p3_found": p3_found,
     "p3_orphans": p3_orphans,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_filled": p4_filled,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_grid": p6_grid,
     "p7_found": p7_found,
     "p7_periods": p7_periods,
 }
@@ -114,10 +154,20 @@ ORACLE = {
         UNION ALL
         SELECT 'bacterio', 'hadm_id', bact_id FROM bacterio a WHERE hadm_id IS NOT NULL AND NOT EXISTS (
           SELECT 1 FROM admissions i WHERE i.hadm_id = a.hadm_id AND epoch(i.loadtime) <= a.storetime AND (i.deletedtime IS NULL OR epoch(i.deletedtime) > a.storetime))""",
+    "p4_found": """
+        SELECT row_id FROM chartevents JOIN d_items USING (itemid)
+        WHERE (kind IN ('measured', 'setting') AND (valuenum IS NULL OR isnan(valuenum)))
+           OR (kind = 'text' AND (value IS NULL OR NOT list_contains(list_transform(categories, lambda c: lower(c)), lower(regexp_replace(value, '^\s+|\s+$', '', 'g')))))""",
     "p5_found": """
         SELECT abx_id, bact_id FROM (
           SELECT a.abx_id, b.bact_id, row_number() OVER (PARTITION BY a.abx_id ORDER BY abs(a.starttime - b.charttime), b.charttime, b.bact_id) AS r
           FROM abx a JOIN bacterio b ON a.stay_id = b.stay_id AND abs(a.starttime - b.charttime) <= 259200) WHERE r = 1""",
+    "p6_found": """
+        WITH s AS (
+          SELECT DISTINCT stay_id, itemid, period_s, CAST(floor(charttime / period_s) AS BIGINT) AS slot FROM chartevents JOIN d_items USING (itemid)
+          WHERE kind = 'measured' AND stay_id IS NOT NULL AND charttime IS NOT NULL AND valuenum IS NOT NULL AND NOT isnan(valuenum)),
+        n AS (SELECT *, lead(slot) OVER (PARTITION BY stay_id, itemid ORDER BY slot) AS nxt FROM s)
+        SELECT stay_id, itemid, CAST(unnest(range(slot + 1, nxt)) AS BIGINT) AS slot FROM n WHERE nxt - slot > 1 AND (nxt - slot) * period_s <= 8640000""",
     "p7_found": """
         WITH f AS (SELECT DISTINCT stay_id, starttime, endtime FROM fluid WHERE stay_id IS NOT NULL AND endtime > starttime),
         g AS (SELECT stay_id, starttime, max(endtime) OVER (PARTITION BY stay_id ORDER BY starttime, endtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, width
+from ..session import bucketed
 
 
 @dataclass(frozen=True)
@@ -19,14 +18,13 @@ class Attribute:
     kind: str
 
 
-def narrow_tables(readings: DataFrame, entity: str, time: str, name: str = "narrow") -> str:
+def narrow_tables(readings: DataFrame, entity: str, time: str, name: str = "narrow") -> DataFrame:
     """Write the cells of `readings` (entity, time, attribute, num, txt, stored, rid) as one typed narrow table per attribute.
 
     Cells are reduced before the shuffle: the value stored last wins (then the larger rid); n_values tells how many different usable
     values compete (2 stands for more). The tables are partitions of one bucketed table, hashed by (entity, time), so that every join
-    between them is co-partitioned and a single busy entity spreads over all buckets. Returns the table's name.
+    between them is co-partitioned and a single busy entity spreads over all buckets. Returns the bucketed table.
     """
-    spark = readings.sparkSession
     usable = F.col("num").isNotNull() & ~F.isnan("num")
     cells = readings.where(F.col(entity).isNotNull() & F.col(time).isNotNull() & F.col("attribute").isNotNull()).select(
         F.col(entity).alias("e"), F.col(time).cast("bigint").alias("t"), "attribute",
@@ -36,16 +34,7 @@ def narrow_tables(readings: DataFrame, entity: str, time: str, name: str = "narr
         F.max(F.when(F.col("num").isNotNull() | F.col("txt").isNotNull(), F.struct("o", "num", "txt"))).alias("v"),
         (F.when(F.min("num") < F.max("num"), 2).when(F.min("num").isNotNull(), 1).otherwise(0)).cast("int").alias("n_values"),
     )
-    return _bucketed(agg.select("e", "t", F.col("v.num").alias("num"), F.col("v.txt").alias("txt"), "n_values", "attribute").repartition(width(spark), "e", "t"), name, "attribute")
-
-
-def _bucketed(df: DataFrame, name: str, *partition_by: str) -> str:
-    """Write rows that are already hashed by (e, t) as a table bucketed the same way, in the shared folder."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    w = df.write.bucketBy(width(spark), "e", "t").option("path", scratch_path(spark, name))
-    (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(table)
-    return table
+    return bucketed(agg.select("e", "t", F.col("v.num").alias("num"), F.col("v.txt").alias("txt"), "n_values", "attribute"), name, "e", "t", partition_by="attribute")
 
 
 def wide_table(readings: DataFrame, attributes: list[Attribute], entity: str, time: str, fan_in: int = 5) -> DataFrame:
@@ -60,10 +49,8 @@ def wide_table(readings: DataFrame, attributes: list[Attribute], entity: str, ti
     in the result; a missing attribute gives a NULL column; an empty table gives an empty result with all columns.
     Repeated rows change nothing. Other columns of `readings` are ignored.
     """
-    spark = readings.sparkSession
     names = [a.name for a in attributes]
-    table = narrow_tables(readings.where(F.col("attribute").isin(names)), entity, time)
-    stored = spark.table(table)
+    stored = narrow_tables(readings.where(F.col("attribute").isin(names)), entity, time)
 
     def keys(group: list[str]) -> DataFrame:
         return stored.where(F.col("attribute").isin(group)).select("e", "t").distinct()
@@ -84,7 +71,7 @@ def wide_table(readings: DataFrame, attributes: list[Attribute], entity: str, ti
             for child, _ in children if len(children) > 1 else []:
                 node = node.join(child.hint("merge"), ["e", "t"], "left")
             if parts > 1 and len(children) > 1:
-                node = spark.table(_bucketed(node, "node"))
+                node = bucketed(node, "node", "e", "t", hashed=True)
             nodes.append((node, covered))
         level = nodes
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 1, F.lit(a.name)) for i, a in enumerate(attributes)]))

@@ -64,3 +64,14 @@ def width(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting at most max_rows + 1 rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, partition_by: str | None = None, hashed: bool = False) -> DataFrame:
+    """Write rows hashed by `keys` as a bucketed table in the shared folder and return it: later joins, windows and groupings on the keys
+    need no shuffle, the lineage is cut and lost executors cost nothing. hashed: the rows already lie in width() partitions by the keys.
+    """
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", width(spark)
+    w = (df if hashed else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", scratch_path(spark, name))
+    (w.partitionBy(partition_by) if partition_by else w).saveAsTable(table)
+    return spark.table(table)
