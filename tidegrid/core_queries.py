@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import grid_fill, impute, intervals, nearest, orphans, wide
+from .operators import grid_fill, impute, intervals, nearest, orphans, spikes, wide
 from .sources.tables import table
 
 TOLERANCE_S = 259_200.0
@@ -39,6 +39,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_wide(spark, d).where(F.size("conflicts") > 0).select("stay_id", "charttime_s", F.explode("conflicts").alias("concept"))
 
 
+SOURCES = ("chartevents", "labs_le")
+
+
+def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Every flagged row of measured items with its reasons."""
+    items = table(spark, d, "d_items").where("kind = 'measured'").select("itemid", "step", "period_s", "linksto")
+    rows = [
+        table(spark, d, name).select(F.lit(k).alias("src"), F.col("row_id").alias("rid"), F.col("stay_id").alias("e"), "itemid", F.col(t).alias("t"), F.col("valuenum").alias("v"))
+        .join(items.where(F.col("linksto") == name), "itemid")
+        .select("src", "rid", "e", F.col("itemid").alias("i"), "t", "v", "step", F.col("period_s").alias("period"))
+        for k, (name, t) in enumerate(zip(SOURCES, ("charttime", "timestp"), strict=True))
+    ]
+    return spikes.flag_readings(rows[0].unionByName(rows[1])).withColumn("src_table", F.element_at(F.array(*map(F.lit, SOURCES)), F.col("src") + 1))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_flagged(spark, d).where("spike OR stuck").select("src_table", F.col("rid").alias("row_id"))
+
+
 def _graph(spark: SparkSession, d: str) -> orphans.Graph:
     sec = lambda c: F.col(c).cast("double")
     node = lambda name, rec: orphans.Node(table(spark, d, name), rec, F.col("storetime"))
@@ -125,6 +144,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_wide": p1_wide,
+    "p2_found": p2_found,
+    "p2_flagged": p2_flagged,
     "p3_found": p3_found,
     "p3_orphans": p3_orphans,
     "p3_report": p3_report,
@@ -154,7 +175,7 @@ ORACLE = {
         UNION ALL
         SELECT 'bacterio', 'hadm_id', bact_id FROM bacterio a WHERE hadm_id IS NOT NULL AND NOT EXISTS (
           SELECT 1 FROM admissions i WHERE i.hadm_id = a.hadm_id AND epoch(i.loadtime) <= a.storetime AND (i.deletedtime IS NULL OR epoch(i.deletedtime) > a.storetime))""",
-    "p4_found": """
+    "p4_found": r"""
         SELECT row_id FROM chartevents JOIN d_items USING (itemid)
         WHERE (kind IN ('measured', 'setting') AND (valuenum IS NULL OR isnan(valuenum)))
            OR (kind = 'text' AND (value IS NULL OR NOT list_contains(list_transform(categories, lambda c: lower(c)), lower(regexp_replace(value, '^\s+|\s+$', '', 'g')))))""",
