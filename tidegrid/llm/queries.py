@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage
+from . import leakage, shared_spans
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -16,9 +16,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("item_id", "doc_id")
 
 
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_shared(spark, d).where("shared_chars > 0").select("doc_id")
+
+
 QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p10_found": p10_found,
+    "p10_shared": p10_shared,
 }
 
 ORACLE: dict[str, str] = {}
