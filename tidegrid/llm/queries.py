@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, shared_spans
+from . import leakage, mixing, shared_spans
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +16,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("item_id", "doc_id")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, d, "documents"))
 
@@ -27,6 +35,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
 }
