@@ -17,6 +17,7 @@ from .normalise import words
 # Units of measurement that a template abstracts from.
 UNITS = ("mg", "g", "kg", "ml", "l", "mm", "cm", "m", "km", "s", "min", "h", "usd", "eur", "percent")
 NUMBER, UNIT, NAME = 1, 2, 3  # typed placeholders; words of the lexicon follow
+COVERED = 0.3  # least part of an item's words that lies in windows of the page
 SHORT, LONG = 4, 5  # window of four plain words; window of five with one placeholder inside
 
 
@@ -30,33 +31,40 @@ class Templates:
         # a name is written with a capital wherever it stands and belongs to one item
         kept = sorted(w for w, n in uses.items() if not w.isdigit() and w not in UNITS and (w in plain or n > 1))
         self.lexicon = {w: k + NAME + 1 for k, w in enumerate(kept)}
-        self.windows = [(i, int(p), int(h)) for i, ws in self.words.items() for p, h in zip(*self.hashes(ws), strict=True)]
-        self.known = np.unique(np.array([h for _, _, h in self.windows], np.int64))
+        own, at, h = self.hashes(list(self.words.values()))
+        names = list(self.words)
+        self.windows = [(names[o], int(p), int(x), len(self.words[names[o]])) for o, p, x in zip(own, at, h, strict=True)]
+        self.known = np.unique(h)
 
-    def ids(self, ws: list[str]) -> np.ndarray:
+    def ids(self, ws: list[str]) -> list[int]:
         """Canonical tokens: lexicon words by number, everything else by its kind of placeholder."""
         get = self.lexicon.get
-        return np.array([get(w) or (NUMBER if w.isdigit() else UNIT if w in UNITS else NAME) for w in ws], np.int64)
-
-    def hashes(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the windows of a word sequence."""
-        t = self.ids(ws).astype(np.uint64)
+        return [get(w) or (NUMBER if w.isdigit() else UNIT if w in UNITS else NAME) for w in ws]
+
+    def hashes(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, position, hash) of the windows of several word sequences."""
+        sizes = np.array([len(ws) for ws in texts], np.int64)
+        t = np.array([k for ws in texts for k in self.ids(ws)], np.uint64)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         slot = t <= NAME
-        at, out = [], []
+        where, out = [], []
         for width, slots in ((SHORT, 0), (LONG, 1)):
-            if len(t) < width:
-                continue
-            h, s = np.full(len(t) - width + 1, width, np.uint64), np.zeros(len(t) - width + 1, np.int64)
+            n = max(0, len(t) - width + 1)
+            h, s = np.full(n, width, np.uint64), np.zeros(n, np.int8)
             for o in range(width):
-                h = (h ^ t[o : o + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ t[o : o + n]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-                s += slot[o : o + len(s)]
-            ok = s == slots
+                s += slot[o : o + n]
+            ok = (s == slots) & (owner[:n] == owner[width - 1 : width - 1 + n])
             if slots:
-                ok &= ~slot[: len(s)] & ~slot[width - 1 : width - 1 + len(s)]
-            at.append(np.flatnonzero(ok))
-            out.append(h[ok].view(np.int64))
-        return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                ok &= ~slot[:n] & ~slot[width - 1 : width - 1 + n]
+            f = np.flatnonzero(ok)
+            where.append(f)
+            out.append(h[f].view(np.int64))
+        f = np.concatenate(where)
+        own = owner[f]
+        return own, f - (ends - sizes)[own], np.concatenate(out)
 
 
 def scan_pages(templates: Templates) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -64,25 +72,22 @@ def scan_pages(templates: Templates) -> Callable[[Iterable[pa.RecordBatch]], Ite
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, hs, seen = [], [], [], Counter()
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = words(text)
-                seen.update(set(ws) & templates.lexicon.keys())
-                p, h = templates.hashes(ws)
-                if len(h) and len(templates.known):
-                    near = np.minimum(np.searchsorted(templates.known, h), len(templates.known) - 1)
-                    ok = templates.known[near] == h
-                    p, h = p[ok], h[ok]
-                    ids.append(np.full(len(p), doc, np.int64))
-                    at.append(p)
-                    hs.append(h)
-            n = sum(map(len, ids))
+            seen: Counter = Counter()
+            docs, texts = b.column(0).to_numpy(), []
+            for text in b.column(1).to_pylist():
+                texts.append(ws := words(text))
+                seen.update(templates.lexicon.keys() & ws)
+            own, at, h = templates.hashes(texts)
+            if len(templates.known):
+                ok = templates.known[np.minimum(np.searchsorted(templates.known, h), len(templates.known) - 1)] == h
+                own, at, h = own[ok], at[ok], h[ok]
+            n = len(h)
             k = len(seen)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(np.concatenate(ids) if n else np.zeros(0, np.int64)), pa.nulls(k, pa.int64())]),
-                    pa.array(np.concatenate([*at, np.zeros(k, np.int64)]).astype(np.int32)),
-                    pa.array(np.concatenate([*hs, np.array([templates.lexicon[w] for w in seen], np.int64)]).astype(np.int64)),
+                    pa.concat_arrays([pa.array(docs[own], pa.int64()), pa.nulls(k, pa.int64())]),
+                    pa.array(np.concatenate([at, np.zeros(k, np.int64)]).astype(np.int32)),
+                    pa.array(np.concatenate([h, np.array([templates.lexicon[w] for w in seen], np.int64)]).astype(np.int64)),
                     pa.array(np.concatenate([np.zeros(n, np.int64), np.array(list(seen.values()), np.int64)]).astype(np.int64)),
                 ],
                 names=["doc_id", "at", "h", "pages"],
@@ -167,8 +172,8 @@ def leaked_items(
 
     Both sides are folded (case, accents, punctuation, spacing, invisible and look-alike letters, doubly encoded bytes) and canonicalised:
     numbers, units and names become typed placeholders, a word of a page that no item knows counts as a name. Windows of four words, or
-    of five with one placeholder inside, are hashed and joined; a pair needs two windows. It is then aligned exactly over the whole page
-    text near its windows: at least `least_share` of the item's words in order, where a slot filled with other words counts if the
+    of five with one placeholder inside, are hashed and joined; a pair's windows must hold 0.3 of the item's words. It is then aligned
+    exactly, over the whole page text near its windows: at least `least_share` of the item's words in order, where a slot filled with other words counts if the
     filling is consistent, and at least `sure` of the words' rarity (inverse page frequency over all pages), or `least_share` of it with
     a run of 0.4 of the item unchanged - common phrases of a language alone reach half the words, but not half their rarity.
 
@@ -177,7 +182,6 @@ def leaked_items(
     repeated item ids are one item (the larger text); empty tables give an empty result; other columns are ignored.
     Result: item_id, doc_id, share, rarity, run DOUBLE, rebound INT (slots filled anew), steady BOOLEAN (each slot always filled alike).
     """
-    spark = pages.sparkSession
     docs = pages.select(F.col(page_id).cast("bigint").alias("doc_id"), F.col(page_text).alias("text")).dropna()
     held = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).dropna().groupBy("item_id").agg(F.max("text").alias("text"))
     total = docs.count()
@@ -187,7 +191,6 @@ def leaked_items(
         part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else held
         found = _block(docs, Templates([(r.item_id, r.text) for r in part.collect()]), total, least_share, sure)
         out = found if out is None else out.unionByName(found)
-    del spark
     return out
 
 
@@ -198,13 +201,13 @@ def _block(docs: DataFrame, t: Templates, total: int, least_share: float, sure:
     counts = {r.h: r.n for r in hits.where("doc_id IS NULL").groupBy("h").agg(F.sum("pages").alias("n")).collect()}
     rare = {w: math.log((total + 1) / (counts.get(h, 0) + 1)) for w, h in t.lexicon.items()}
     top = math.log(total + 1)
-    windows = spark.createDataFrame(t.windows or [], "item_id BIGINT, p INT, h BIGINT")
+    windows = spark.createDataFrame(t.windows or [], "item_id BIGINT, p INT, h BIGINT, m INT")
     pairs = (
         hits.where("doc_id IS NOT NULL")
         .join(F.broadcast(windows), "h")
-        .groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("p").alias("n"), F.collect_set(F.col("at") - F.col("p")).alias("d"))
-        .where("n >= 2")
+        .groupBy("doc_id", "item_id", "m")
+        .agg(F.collect_set("p").alias("p"), F.collect_set(F.col("at") - F.col("p")).alias("d"))
+        .where(F.size(F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(p, p + SHORT - 1))))) >= COVERED * F.col("m"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("item_id", "d")).alias("c"))
     )

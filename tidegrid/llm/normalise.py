@@ -14,6 +14,8 @@ LOOKALIKES = {
 }
 _LOOK = str.maketrans(LOOKALIKES)
 _BROKEN = re.compile("[Â-ôЂ-џ][\u0080-¿Œ-ƒˆ˜–-›€™Ѐ-џ]+")
+# combining marks and characters without width
+_UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]+")
 _WORD = re.compile(r"\w+")
 _LATIN = re.compile("[a-z]")
 
@@ -36,7 +38,7 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = _BROKEN.sub(_unbreak, text)
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn"))
+        text = _UNSEEN.sub("", text)
     return text.casefold()
 
 
