@@ -177,16 +177,20 @@ def shared_spans(pages: DataFrame, page_id: str = "doc_id", page_text: str = "te
     whose minimiser only one page has are dropped first, by a join of numbers alone: windows of equal text have equal minimisers. The
     other runs travel as packed strings to the bucket of their minimiser, where sorting finds the windows of more than one page. A
     minimiser of more than `hot` runs is no bucket of its own: its windows are counted by a mergeable aggregate and joined back, so no task
-    holds them all. Windows are compared by 128 bits of hash. No pairs of pages are formed.
+    holds them all. Windows are compared by 128 bits of hash. Of exact copies one page stands for all. No pairs of pages are formed.
 
     One row per page: doc_id, n_chars, shared_chars (characters inside shared stretches), n_spans, longest (of the stretches), share.
-    NULL text counts as empty; pages shorter than `least` share nothing; NULL ids are left out; rows of one id are one page (the longer
-    text); stretches repeated inside one page only do not count; empty tables give an empty result; other columns are ignored.
+    NULL text counts as empty; pages shorter than `least` share nothing; NULL ids are left out; ids name pages (repeated rows are one
+    a page); stretches repeated inside one page only do not count; empty tables give an empty result; other columns are ignored.
     """
     m = m or max(8, least // 2)
     docs = pages.select(F.col(page_id).cast("bigint").alias("doc_id"), F.coalesce(page_text, F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     long_docs = docs.where(F.length("text") >= least)
-    runs = materialise(long_docs.mapInArrow(_runs(least, m), "doc_id BIGINT, at INT, n INT, mini BIGINT"), "runs")
+    # exact copies: one page stands for all of them; what has a copy is shared from end to end
+    twin = long_docs.select("doc_id", F.md5("text").alias("h1"), F.xxhash64("text").alias("h2")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    twin = materialise(twin, "copies")
+    found = long_docs.mapInArrow(_runs(least, m), "doc_id BIGINT, at INT, n INT, mini BIGINT")
+    runs = materialise(found.join(twin.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "runs")
     several = materialise(runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("mini", (F.col("rows") > hot).alias("hot")), "minimisers")
 
     def packed(which: bool) -> DataFrame:
@@ -212,9 +216,12 @@ def shared_spans(pages: DataFrame, page_id: str = "doc_id", page_text: str = "te
         ),
     )
     per_page = spans.groupBy("doc_id").agg(fold.alias("s"))
-    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
-    got = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("bigint")
-    return sizes.join(per_page, "doc_id", "left").select(
+    size = F.length("text")
+    sizes = docs.groupBy("doc_id").agg(F.max(size).alias("n_chars"), F.max(F.when(size >= least, F.struct(size.alias("l"), F.md5("text").alias("h1"), F.xxhash64("text").alias("h2")))).alias("k"))
+    copied = twin.where("first < last").select("h1", "h2", F.lit(True).alias("copied"))
+    whole = sizes.select("doc_id", "n_chars", "k.h1", "k.h2").join(copied, ["h1", "h2"], "left")
+    got = lambda c: F.when(F.col("copied"), F.lit(1) if c == "spans" else F.col("n_chars")).otherwise(F.coalesce(F.col(f"s.{c}"), F.lit(0))).cast("bigint")
+    return whole.join(per_page, "doc_id", "left").select(
         "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), got("total").alias("shared_chars"), got("spans").alias("n_spans"), got("longest").alias("longest"),
         F.when(F.col("n_chars") > 0, got("total") / F.col("n_chars")).otherwise(0.0).alias("share"),
     )
