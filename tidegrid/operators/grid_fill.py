@@ -42,7 +42,9 @@ def regular_grid(
     rows = readings.select(F.col(entity).alias("e"), F.col(item).alias("i"), F.col(period).cast("double").alias("period"), F.col(time).cast("double").alias("t"), num.alias("v"))
     rows = rows.dropna().where("NOT isnan(v) AND NOT isnan(t) AND period > 0").select("e", "i", "period", F.floor(F.col("t") / F.col("period")).alias("slot"), "v")
     rows = rows.withColumn("block", F.floor(F.col("slot") / block_slots))
-    cells = bucketed(rows, "cells", "e", "i", "block").groupBy("e", "i", "block", "period", "slot").agg(F.avg("v").alias("y"), F.count("*").alias("n"))
+    # readings of a slot are reduced before they travel, so a dense source costs no more than its slots
+    slots = rows.groupBy("e", "i", "block", "period", "slot").agg(F.avg("v").alias("y"), F.count("*").alias("n"))
+    cells = bucketed(slots, "cells", "e", "i", "block")
     end = F.struct("slot", "y")
     inside = Window.partitionBy("e", "i", "block").orderBy("slot")
     within = cells.select("e", "i", "period", end.alias("p"), F.lead(end).over(inside).alias("q"))
