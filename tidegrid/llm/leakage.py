@@ -145,7 +145,7 @@ def judge(item: list[str], page: list[str], diagonals: list[int], rarity: Callab
         return None
     passage = page[where[0] : where[1]]
     weight = [rarity(w) for w in item]
-    pairs = _aligned(item, passage, weight)
+    pairs = _aligned(item, passage, [w + 0.1 for w in weight])  # words of every page count a little too
     to = dict(pairs)
     bound: dict[str, set[str]] = {}
     moved = []
@@ -199,8 +199,8 @@ def _block(docs: DataFrame, t: Templates, total: int, least_share: float, sure:
     hits = materialise(docs.mapInArrow(scan_pages(t), "doc_id BIGINT, at INT, h BIGINT, pages BIGINT"), "windows")
     # word counts are bounded by the lexicon of the block
     counts = {r.h: r.n for r in hits.where("doc_id IS NULL").groupBy("h").agg(F.sum("pages").alias("n")).collect()}
-    rare = {w: math.log((total + 1) / (counts.get(h, 0) + 1)) for w, h in t.lexicon.items()}
-    top = math.log(total + 1)
+    rare = {w: math.log((total + 2) / (counts.get(h, 0) + 1)) for w, h in t.lexicon.items()}
+    top = math.log(total + 2)
     windows = spark.createDataFrame(t.windows or [], "item_id BIGINT, p INT, h BIGINT, m INT")
     pairs = (
         hits.where("doc_id IS NOT NULL")

@@ -86,7 +86,7 @@ def mix(
     Rates between 0 and the domain's max_repeats (the expected one, for soft members) minimise the squared distance of the domains'
     expected token totals from total_tokens x share by projected gradient, whose sums are Spark aggregates over classes of equal
     membership. total_tokens is by default the largest total for which the labelled pages of every domain that has any can reach its share; shares
-    of domains without any page are out of reach, and the others keep their proportions.
+    of domains without any page are out of reach, and the others keep their proportions; without labelled pages it is 0.
     Rates become whole repeats by a threshold on a hash of the id, set per domain so that the domain's tokens come out right; a page is
     never used more often than max_repeats.
 
