@@ -29,7 +29,7 @@ def mean_matching(rows: DataFrame, draws: int = 3, per_sd: int = 200, ridge: flo
     nearer one gives, of equal ones the lower. Cells are few and bounded, so no task ever holds a group's rows.
 
     Result: one row per row with NULL y: rid, grp, fill DOUBLE, donor_rid. A group without observed rows gives NULL for both.
-    NaN must be NULL already. Repeated rows are rows of their own. Without missing rows or in an empty table the result is empty.
+    NaN must be NULL already. Rows without group are left out. Repeated rows are rows of their own. Without missing rows or in an empty table the result is empty.
     """
     block = F.floor(F.col("t") / (F.col("period") * block_periods))
     lone = F.col("entity").isNull() | F.col("t").isNull() | F.col("period").isNull()

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BASE = 16.0  # ratio of the widths of neighbouring levels
+
+
 def nearest_in_time(
     left: DataFrame, right: DataFrame, entity: str, left_id: str, left_time: str, right_id: str, right_time: str, tolerance: float
 ) -> DataFrame:
     """Each left row with the right row of its entity that lies nearest in time, at most `tolerance` seconds away.
 
-    Each right time owns the interval between the midpoints to its neighbours, cut at the tolerance; intervals are spread over cells of
-    (entity, time / 2 tolerance), so a left row meets one cell and a busy entity falls into many. Neighbours farther than twice the
-    tolerance never bound an interval, so the midpoints too are found inside such cells.
+    Each right time owns the interval between the midpoints to its neighbours, cut at the tolerance. Neighbours farther than twice the
+    tolerance never bound an interval, so midpoints are found inside cells of that width, to which rows near a border are copied.
+    The intervals of an entity are disjoint; an index keeps each at the level of its width (powers of BASE), where it covers at most three
+    cells of that width. A cell so holds few intervals however dense an entity is, and a left row, which looks into one cell per level,
+    meets few of them; entity, level and cell spread a busy entity over all tasks.
 
     Ties: of equal distances the earlier right time, then the smaller right id. Equal times count (distance 0).
     Rows with a NULL (or NaN) entity, id or time pair with nothing; left rows without partner are left out. Repeated left ids give one row
@@ -32,18 +37,24 @@ def nearest_in_time(
     w = Window.partitionBy("_e", "_cell").orderBy("_t")
     lo, hi = F.lag("_t").over(w), F.lead("_t").over(w)
     own = spread.select("*", lo.alias("_prev"), hi.alias("_next")).where("_cell = _own")
-    intervals = own.select(
-        F.col("_e"), F.col("_t").alias("_rt"), F.col("_rid"),
-        ((F.col("_prev") + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.col("_next")) / 2).alias("_hi"),
-        F.explode(F.array_distinct(F.array(F.floor((F.col("_t") - tolerance) / cell), F.floor((F.col("_t") + tolerance) / cell)))).alias("_cell"),
+    span = own.select(
+        "_e", F.col("_t").alias("_rt"), "_rid", ((F.col("_prev") + F.col("_t")) / 2).alias("_lo"), ((F.col("_t") + F.col("_next")) / 2).alias("_hi"),
+        F.greatest(F.col("_t") - tolerance, (F.col("_prev") + F.col("_t")) / 2).alias("_a"), F.least(F.col("_t") + tolerance, (F.col("_t") + F.col("_next")) / 2).alias("_z"),
     )
-    lf = left.select(F.col(entity).alias("_e"), num(left_time).alias("_lt"), F.col(left_id).alias("_lid")).dropna().distinct().withColumn("_cell", F.floor(F.col("_lt") / cell))
+    sizes = [1.0]
+    while sizes[-1] < cell:
+        sizes.append(sizes[-1] * BASE)
+    level = F.coalesce(*[F.when(F.col("_z") - F.col("_a") <= x, F.lit(k)) for k, x in enumerate(sizes)], F.lit(len(sizes) - 1))
+    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("_level") + 1)
+    intervals = span.withColumn("_level", level).select("_e", "_rt", "_rid", "_lo", "_hi", "_level", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor(F.col("_z") / size))).alias("_cell"))
+    lf = left.select(F.col(entity).alias("_e"), num(left_time).alias("_lt"), F.col(left_id).alias("_lid")).dropna().distinct()
+    lf = lf.withColumn("_level", F.explode(F.array(*map(F.lit, range(len(sizes)))))).withColumn("_cell", F.floor(F.col("_lt") / size))
     hit = (
         (F.abs(F.col("_lt") - F.col("_rt")) <= tolerance)
         & (F.col("_lo").isNull() | (F.col("_lt") > F.col("_lo")))
         & (F.col("_hi").isNull() | (F.col("_lt") <= F.col("_hi")))
     )
-    return lf.join(intervals, ["_e", "_cell"]).where(hit).select(
+    return lf.join(intervals, ["_e", "_level", "_cell"]).where(hit).select(
         F.col("_lid").alias(left_id), F.col("_rid").alias(right_id), F.col("_lt").alias("left_time"), F.col("_rt").alias("right_time"),
         F.abs(F.col("_lt") - F.col("_rt")).alias("distance"),
     )
