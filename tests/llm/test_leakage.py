@@ -27,9 +27,10 @@ def test_altered_wordings_are_found(spark):
         (1, NOISE + a + NOISE), (2, NOISE + a.upper()), (3, a.replace(" ", "\n  ").replace(",", ";")), (4, b.replace("o", "о").replace("a", "а")),
         (5, c.encode().decode("cp1252", "replace")), (6, "".join(x + "​" for x in b)), (7, a.replace("distant", "nearby").replace("lamp", "lmap")),
         (8, cut[0] + ".\nAdvert: new shoes for the whole family today\n" + cut[1]), (9, " ".join(a.split()[:14])), (10, c.replace("ü", "ue") if False else c.replace("ü", "ü")),
+        (12, NOISE + c.replace("ü", "\ufffd").replace("ö", "\ufffd").replace("tägl", "t\ufffdg\ufffdl")), (13, b.replace("a", "\ufffd").replace("ir", "i\ufffdr")),
         (11, b.replace("'", "&#39;").replace(" ", "&nbsp;")),
     ]
-    assert set(found(spark, docs)) == {(1, 1), (1, 2), (1, 3), (2, 4), (3, 5), (2, 6), (1, 7), (1, 8), (1, 9), (3, 10), (2, 11)}
+    assert set(found(spark, docs)) == {(1, 1), (1, 2), (1, 3), (2, 4), (3, 5), (2, 6), (1, 7), (1, 8), (1, 9), (3, 10), (2, 11), (3, 12), (2, 13)}
 
 
 def test_little_or_shuffled_wording_is_no_case(spark):

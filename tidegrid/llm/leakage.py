@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .normalise import words
+from .normalise import LOST, could_be, words
 
 # Units of measurement that a template abstracts from.
 UNITS = ("mg", "g", "kg", "ml", "l", "mm", "cm", "m", "km", "s", "min", "h", "usd", "eur", "percent")
@@ -31,6 +31,10 @@ class Templates:
         # a name is written with a capital wherever it stands and belongs to one item
         kept = sorted(w for w, n in uses.items() if not w.isdigit() and w not in UNITS and (w in plain or n > 1))
         self.lexicon = {w: k + NAME + 1 for k, w in enumerate(kept)}
+        self.by_letter: dict[str, list[str]] = {}
+        for w in kept:
+            self.by_letter.setdefault(w[0], []).append(w)
+        self.guesses: dict[str, int] = {}
         own, at, h = self.hashes(list(self.words.values()))
         names = list(self.words)
         self.windows = [(names[o], int(p), int(x), len(self.words[names[o]])) for o, p, x in zip(own, at, h, strict=True)]
@@ -39,7 +43,16 @@ class Templates:
     def ids(self, ws: list[str]) -> list[int]:
         """Canonical tokens: lexicon words by number, everything else by its kind of placeholder."""
         get = self.lexicon.get
-        return [get(w) or (NUMBER if w.isdigit() else UNIT if w in UNITS else NAME) for w in ws]
+        return [get(w) or (NUMBER if w.isdigit() else UNIT if w in UNITS else self.guess(w) if LOST in w else NAME) for w in ws]
+
+    def guess(self, w: str) -> int:
+        """Token of a word with lost characters."""
+        if w not in self.guesses:
+            known = could_be(w, self.lexicon if w[0] == LOST else self.by_letter.get(w[0], ()))
+            if len(self.guesses) > 100_000:
+                self.guesses.clear()
+            self.guesses[w] = self.lexicon[known] if known else NAME
+        return self.guesses[w]
 
     def hashes(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, position, hash) of the windows of several word sequences."""
@@ -132,6 +145,8 @@ def _aligned(a: list[str], b: list[str], weight: list[float]) -> list[tuple[int,
 def judge(item: list[str], page: list[str], diagonals: list[int], rarity: Callable[[str], float], slots: set[int]) -> dict | None:
     """Best passage of the page for the item: share of words in order, share of their rarity, longest run, bindings of slots."""
     m = len(item)
+    own = set(item)
+    page = [could_be(w, own) or w if LOST in w else w for w in page]
     best, where = 0, (0, 0)
     tried = None
     for d in sorted(diagonals):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterable
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -16,7 +17,8 @@ _LOOK = str.maketrans(LOOKALIKES)
 _BROKEN = re.compile("[Â-ôЂ-џ][\u0080-¿Œ-ƒˆ˜–-›€™Ѐ-џ]+")
 # combining marks and characters without width
 _UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]+")
-_WORD = re.compile(r"\w+")
+LOST = "\ufffd"  # stands where a character could not be decoded, be it a letter or an invisible one
+_WORD = re.compile(rf"[\w{LOST}]+")
 _LATIN = re.compile("[a-z]")
 
 
@@ -46,3 +48,11 @@ def words(text: str) -> list[str]:
     """Words of the folded text, in order; a word that mixes scripts is read as Latin."""
     found = _WORD.findall(fold(text))
     return [w.translate(_LOOK) if not w.isascii() and _LATIN.search(w) else w for w in found]
+
+
+def could_be(word: str, known: Iterable[str]) -> str | None:
+    """The known word that a word with lost characters most likely was: each lost one stands for none to two. Fewest missing letters first."""
+    parts = word.split(LOST)
+    pattern = re.compile(".{0,2}".join(map(re.escape, parts)))
+    fits = [k for k in known if len(word) - len(parts) < len(k) <= len(word) + len(parts) and pattern.fullmatch(k)] if any(parts) else []
+    return min(fits, key=lambda k: (abs(len(k) - len(word)), k), default=None)
