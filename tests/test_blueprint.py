@@ -125,3 +125,14 @@ def test_split_is_disjoint_and_stable(spark):
     df = spark.range(2000).select(evaluate.hash_split(F.col("id")).alias("t"))
     n = df.where("t").count()
     assert 1500 < n < 1700 and n == df.where("t").count()
+
+
+def test_imputation_plan(spark):
+    from tidegrid.plans.imputation import feature_columns, fill_missing
+
+    rows = [(1, k, float(k), None if k % 3 == 0 else float(10 * k), 1.0 if k == 0 else None, None if k == 20 else float(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "stay_id BIGINT, timestep INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+    got = {r.timestep: r for r in fill_missing(df, "stay_id", "timestep", ["a", "b", "c", "d"]).collect()}
+    assert "c" not in got[1].asDict() and got[20].d == 20.0
+    assert all(abs(got[k].b - 10 * k) <= 10 for k in range(40))
+    assert feature_columns(df, "a", treatments=("b",), with_treatments=False) == ["c", "d"]

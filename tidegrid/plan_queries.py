@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import carry, clean, cohort, evaluate, flags, grid, knn, models
+from .plans import imputation
 from .plans.trajectory import CONCEPTS, HOUR, Trajectories
 from .sources.tables import epoch, nan_to_null, table
 
@@ -159,10 +160,18 @@ def union_align(spark, d):
     return a.unionByName(table(spark, d, "labs_le").select("stay_id", F.col("timestp").alias("t"), "itemid"), allowMissingColumns=True)
 
 
-# --- entities
+@query("SELECT stay_id, array_to_string(list_sort(list(DISTINCT itemid)), ',') AS items FROM chartevents WHERE stay_id IS NOT NULL AND itemid IS NOT NULL GROUP BY 1")
+def sorted_unique(spark, d):
+    return table(spark, d, "chartevents").where("stay_id IS NOT NULL").groupBy("stay_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("itemid")).cast("array<string>")).alias("items"))
+
+
+@query()
+def seeded_sample(spark, d):
+    """A fixed number of stays, drawn by hash: the limit is the operator."""
+    return table(spark, d, "icustays").select("stay_id").distinct().orderBy(F.xxhash64("stay_id", F.lit(42))).limit(50)
 
 
-VISITS = "v AS (SELECT admittime, dischtime, min(subject_id) AS subject_id FROM admissions GROUP BY 1, 2)"
+# --- entities
 
 
 @query("SELECT subject_id, hadm_id, a, z FROM (SELECT subject_id, hadm_id, epoch(admittime) AS a, epoch(dischtime) AS z, row_number() OVER (PARTITION BY admittime, dischtime ORDER BY subject_id, hadm_id, loadtime, deletedtime) AS r FROM admissions) WHERE r = 1")
@@ -358,6 +367,11 @@ def knn1_impute(spark, d):
     return knn.nearest_neighbour_fill(_cells(spark, d), ["stay_id", "timestep"], ["map", "heart_rate", "sbp", "temp_c", "respiratory_rate"])
 
 
+@query()
+def impute_dispatch(spark, d):
+    return imputation.fill_missing(_cells(spark, d), "stay_id", "timestep", ["map", "heart_rate", "sbp", "temp_c", "respiratory_rate"])
+
+
 # --- derived values, flags, exclusions
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import carry, clean, flags, grid, onset
+from ..session import materialise
 from ..sources.tables import table
 
 HOUR = 3600.0
@@ -22,7 +23,9 @@ class Config:
     before_h: float = 24.0
     after_h: float = 72.0
     concepts: list[str] = field(default_factory=lambda: list(CONCEPTS))
+    # Hours for which the blueprint holds a reading
     hold_h: dict[str, float] = field(default_factory=lambda: {"heart_rate": 2, "sbp": 2, "dbp": 2, "map": 2, "respiratory_rate": 2, "spo2": 2, "temp_c": 6, "fio2": 12, "creatinine": 28, "potassium": 14, "glucose": 14})
+    # The plausible ranges of the blueprint for these concepts
     bounds: dict[str, tuple[float | None, float | None]] = field(
         default_factory=lambda: {"heart_rate": (None, 250), "sbp": (None, 300), "dbp": (0, 200), "map": (0, 200), "respiratory_rate": (None, 80), "creatinine": (None, 150), "potassium": (1, 15), "glucose": (1, 1000)}
     )
@@ -30,11 +33,18 @@ class Config:
 
 @dataclass
 class Trajectories:
-    """Each stage is a method that returns a DataFrame; nothing runs before an action."""
+    """Each stage is a method that returns a DataFrame. Anchors and grid bounds, one row per entity and needed by several stages, are
+    written once when first asked for; everything else runs with an action."""
 
     spark: SparkSession
     folder: str
     config: Config = field(default_factory=Config)
+    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def _once(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = materialise(df, name)
+        return self._kept[name]
 
     def readings(self) -> DataFrame:
         """Usable numeric readings (stay_id, t, concept, v, itemid, st, row_id)."""
@@ -49,7 +59,7 @@ class Trajectories:
 
     def anchors(self) -> DataFrame:
         """(stay_id, onset_time) from antibiotic starts and cultures."""
-        return onset.first_anchor(table(self.spark, self.folder, "abx"), table(self.spark, self.folder, "bacterio"), "stay_id", "abx_id", "starttime", "bact_id", "charttime")
+        return self._once("anchors", onset.first_anchor(table(self.spark, self.folder, "abx"), table(self.spark, self.folder, "bacterio"), "stay_id", "abx_id", "starttime", "bact_id", "charttime"))
 
     def cleaned(self) -> DataFrame:
         """Wide rows around the anchor with impossible values removed, fractions as percent, saturation clamped, values held."""
@@ -63,10 +73,10 @@ class Trajectories:
     def bounds(self) -> DataFrame:
         c = self.config
         near = grid.around_anchor(self.readings().where(F.col("concept").isin(c.concepts)).select("stay_id", "t"), self.anchors(), "stay_id", "t", "onset_time", c.before_h * HOUR, c.after_h * HOUR)
-        return grid.grid_bounds(near, "stay_id", "t", "onset_time", c.before_h * HOUR, c.after_h * HOUR, c.step_h * HOUR)
+        return self._once("bounds", grid.grid_bounds(near, "stay_id", "t", "onset_time", c.before_h * HOUR, c.after_h * HOUR, c.step_h * HOUR))
 
     def fixed(self) -> DataFrame:
-        """Trajectories (stay_id, timestep, timestamp, a mean per concept, fluid_step, fluid_total, balance of nothing but fluids)."""
+        """Trajectories (stay_id, timestep, timestamp, a mean per concept, fluid_step, fluid_total)."""
         c, step = self.config, self.config.step_h * HOUR
         b = self.bounds()
         means = grid.cell_means(self.cleaned(), b, "stay_id", "t", c.concepts, step)
