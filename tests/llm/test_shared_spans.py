@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tidegrid.llm.shared_spans import _hash, _sliding_min, shared_spans, super_kmers
+from tidegrid.llm import shared_spans as module
+from tidegrid.llm.shared_spans import _hash, _pieces, _sliding_min, shared_spans, super_kmers
 
 
 def brute(docs, k):
@@ -47,7 +48,8 @@ def test_against_brute_force(spark, hot):
 
 
 def test_edges(spark):
-    t = "".join(random.Random(3).choice("abcdefgh") for _ in range(400))
+    rng = random.Random(3)
+    t = "".join(rng.choice("abcdefgh") for _ in range(400))
     got = run(spark, [(1, t), (2, t[100:300]), (3, t[101:300]), (4, None), (5, ""), (6, t[:199]), (None, t)])
     assert {i: r.shared_chars for i, r in got.items()} == {1: 200, 2: 200, 3: 0, 4: 0, 5: 0, 6: 0}
     assert got[1].n_chars == 400 and got[1].share == 0.5 and got[4].n_chars == 0
@@ -71,3 +73,14 @@ def test_runs_cover_every_window_once():
     own, at, n, _ = super_kmers(texts, 40, 20)
     got = sorted((o, p) for o, a, c in zip(own, at, n, strict=True) for p in range(a, a + c))
     assert got == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 39)]
+
+
+def test_long_texts_come_in_overlapping_slices(monkeypatch):
+    monkeypatch.setattr(module, "PIECE", 100)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (0, 1, 39, 40, 99, 100, 139, 140, 141, 1000)]
+    got = []
+    for ids, offsets, parts in _pieces(list(range(len(texts))), texts, 40):
+        own, at, n, _ = super_kmers(parts, 40, 20)
+        got += [(int(ids[o]), int(p + offsets[o])) for o, a, c in zip(own, at, n, strict=True) for p in range(a, a + c)]
+    assert sorted(got) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 39)]

@@ -45,15 +45,20 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - size : w - size + n])
 
 
-def _pieces(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
-    a, size = 0, 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > PIECE:
-            yield ids[a:b], texts[a:b]
-            a, size = b, 0
-        size += len(t)
-    if texts:
-        yield ids[a:], texts[a:]
+def _pieces(ids: list[int], texts: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(ids, offsets, texts) of about PIECE characters at a time; a longer text comes in slices that overlap by k - 1."""
+    own, off, out, size = [], [], [], 0
+    for doc, text in zip(ids, texts, strict=True):
+        for a in range(0, max(1, len(text) - k + 1), PIECE):
+            own.append(doc)
+            off.append(a)
+            out.append(text[a : a + PIECE + k - 1])
+            size += len(out[-1])
+            if size >= PIECE:
+                yield np.array(own, np.int64), np.array(off, np.int64), out
+                own, off, out, size = [], [], [], 0
+    if out:
+        yield np.array(own, np.int64), np.array(off, np.int64), out
 
 
 def super_kmers(texts: list[str], k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -84,9 +89,9 @@ def super_kmers(texts: list[str], k: int, m: int) -> tuple[np.ndarray, ...]:
 def _runs(k: int, m: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, offsets, texts in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), k):
                 own, at, n, low = super_kmers(texts, k, m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[own]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(low)], names=["doc_id", "at", "n", "mini"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array((at + offsets[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(low)], names=["doc_id", "at", "n", "mini"])
 
     return run
 
