@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,21 +60,22 @@ def wide_table(readings: DataFrame, attributes: list[Attribute], entity: str, ti
         value = F.col("num" if a.kind == "double" else "txt")
         return stored.where(F.col("attribute") == a.name).select("e", "t", value.alias(f"v{i}"), F.col("n_values").alias(f"n{i}")), [a.name]
 
+    def join(children: list[tuple[DataFrame, list[str]]], inner: bool) -> tuple[DataFrame, list[str]]:
+        if len(children) == 1:
+            return children[0]
+        covered = [n for _, ns in children for n in ns]
+        node = keys(covered)
+        for child, _ in children:
+            node = node.join(child.hint("merge"), ["e", "t"], "left")
+        return (bucketed(node, "node", "e", "t", hashed=True) if inner else node), covered
+
     level = [leaf(i, a) for i, a in enumerate(attributes)]
     while len(level) > 1:
         parts = -(-len(level) // fan_in)
         size = -(-len(level) // parts)  # balanced: children differ by one at most
-        nodes = []
-        for k in range(0, len(level), size):
-            children = level[k : k + size]
-            covered = [n for _, ns in children for n in ns]
-            node = children[0][0] if len(children) == 1 else keys(covered)
-            for child, _ in children if len(children) > 1 else []:
-                node = node.join(child.hint("merge"), ["e", "t"], "left")
-            if parts > 1 and len(children) > 1:
-                node = bucketed(node, "node", "e", "t", hashed=True)
-            nodes.append((node, covered))
-        level = nodes
+        groups = [level[k : k + size] for k in range(0, len(level), size)]
+        with ThreadPoolExecutor(max_workers=4) as pool:  # nodes of a level are independent jobs
+            level = list(pool.map(lambda g: join(g, parts > 1), groups))
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 1, F.lit(a.name)) for i, a in enumerate(attributes)]))
     return level[0][0].select(
         F.col("e").alias(entity), F.col("t").alias(time), *[F.col(f"v{i}").alias(a.name) for i, a in enumerate(attributes)], conflicts.alias("conflicts")
