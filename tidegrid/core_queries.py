@@ -13,14 +13,13 @@ TOLERANCE_S = 259_200.0
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """chartevents and labs_le as attribute-value rows, the attribute being the concept."""
-    items = table(spark, d, "d_items").select("itemid", "concept", "kind", "linksto")
-    ce = table(spark, d, "chartevents").select("stay_id", F.col("charttime").alias("t"), "itemid", F.col("valuenum").alias("num"), F.col("value").alias("raw"), F.col("storetime").alias("stored"), F.col("row_id").alias("rid"), F.lit("chartevents").alias("src"))
-    le = table(spark, d, "labs_le").select("stay_id", F.col("timestp").alias("t"), "itemid", F.col("valuenum").alias("num"), F.lit(None).cast("string").alias("raw"), F.col("storetime").alias("stored"), F.col("row_id").alias("rid"), F.lit("labs_le").alias("src"))
+    items = table(spark, d, "d_items").select("itemid", "concept", "kind")
+    ce = table(spark, d, "chartevents").select("stay_id", F.col("charttime").alias("t"), "itemid", F.col("valuenum").alias("num"), F.col("value").alias("raw"), F.col("storetime").alias("stored"), F.col("row_id").alias("rid"))
+    le = table(spark, d, "labs_le").select("stay_id", F.col("timestp").alias("t"), "itemid", F.col("valuenum").alias("num"), F.lit(None).cast("string").alias("raw"), F.col("storetime").alias("stored"), F.col("row_id").alias("rid"))
     text = F.col("kind") == "text"
     return (
         ce.unionByName(le)
         .join(items, "itemid")
-        .where(F.col("src") == F.col("linksto"))
         .select("stay_id", "t", F.col("concept").alias("attribute"), F.when(~text, F.col("num")).alias("num"), F.when(text, F.trim("raw")).alias("txt"), "stored", "rid")
     )
 
@@ -35,6 +34,10 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.wide_table(readings(spark, d), attributes(spark, d), "stay_id", "t").withColumnRenamed("t", "charttime_s")
 
 
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    return p1_wide(spark, d).drop("conflicts")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_wide(spark, d).where(F.size("conflicts") > 0).select("stay_id", "charttime_s", F.explode("conflicts").alias("concept"))
 
@@ -44,10 +47,10 @@ SOURCES = ("chartevents", "labs_le")
 
 def p2_flagged(spark: SparkSession, d: str) -> DataFrame:
     """Every flagged row of measured items with its reasons."""
-    items = table(spark, d, "d_items").where("kind = 'measured'").select("itemid", "step", "period_s", "linksto")
+    items = table(spark, d, "d_items").where("kind = 'measured'").select("itemid", "step", "period_s")
     rows = [
         table(spark, d, name).select(F.lit(k).alias("src"), F.col("row_id").alias("rid"), F.col("stay_id").alias("e"), "itemid", F.col(t).alias("t"), F.col("valuenum").alias("v"))
-        .join(items.where(F.col("linksto") == name), "itemid")
+        .join(items, "itemid")
         .select("src", "rid", "e", F.col("itemid").alias("i"), "t", "v", "step", F.col("period_s").alias("period"))
         for k, (name, t) in enumerate(zip(SOURCES, ("charttime", "timestp"), strict=True))
     ]
@@ -58,6 +61,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flagged(spark, d).where("spike OR stuck").select("src_table", F.col("rid").alias("row_id"))
 
 
+def p2_stuck(spark: SparkSession, d: str) -> DataFrame:
+    return p2_flagged(spark, d).where("stuck").select("src_table", F.col("rid").alias("row_id"))
+
+
 def _graph(spark: SparkSession, d: str) -> orphans.Graph:
     sec = lambda c: F.col(c).cast("double")
     node = lambda name, rec: orphans.Node(table(spark, d, name), rec, F.col("storetime"))
@@ -107,7 +114,7 @@ def p7_periods(spark: SparkSession, d: str) -> DataFrame:
 
 def _to_fill(spark: SparkSession, d: str) -> DataFrame:
     """chartevents with y: the number of measured and setting items, the category's position of text items, NULL where missing."""
-    items = table(spark, d, "d_items").where("kind IN ('measured', 'setting', 'text') AND linksto = 'chartevents'").select("itemid", "kind", "period_s", "categories")
+    items = table(spark, d, "d_items").where("kind IN ('measured', 'setting', 'text')").select("itemid", "kind", "period_s", "categories")
     word = F.lower(F.regexp_replace("value", r"^\s+|\s+$", ""))
     at = F.array_position(F.transform("categories", lambda c: F.lower(c)), word)
     y = F.when(F.col("kind") == "text", F.when(at > 0, at.cast("double"))).otherwise(F.when(~F.isnan("valuenum"), F.col("valuenum")))
@@ -132,11 +139,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "d_items").where("kind = 'measured' AND linksto = 'chartevents'").select("itemid", "period_s")
+    items = table(spark, d, "d_items").where("kind = 'measured'").select("itemid", "period_s")
     rows = table(spark, d, "chartevents").select("stay_id", "itemid", "charttime", "valuenum").join(items, "itemid")
     return grid_fill.regular_grid(rows, "stay_id", "itemid", "charttime", "valuenum", "period_s")
 
 
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The observed part of the grid."""
+    return p6_grid(spark, d).where("NOT filled").select("stay_id", "itemid", "slot", F.round("value", 4).alias("value"), "n_readings")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_grid(spark, d).where("filled").select("stay_id", "itemid", "slot")
 
@@ -144,8 +156,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_wide": p1_wide,
+    "p1_values": p1_values,
     "p2_found": p2_found,
     "p2_flagged": p2_flagged,
+    "p2_stuck": p2_stuck,
     "p3_found": p3_found,
     "p3_orphans": p3_orphans,
     "p3_report": p3_report,
@@ -154,11 +168,35 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_grid": p6_grid,
+    "p6_cells": p6_cells,
     "p7_found": p7_found,
     "p7_periods": p7_periods,
 }
 
+_NUMBERS = ["arterial_co2_pressure", "creatinine", "dbp", "fio2", "glucose", "heart_rate", "hemoglobin", "lactate", "map", "peep", "ph_arterial", "platelets", "potassium", "respiratory_rate", "sbp", "sodium", "spo2", "temp_c", "tidal_volume", "wbc"]
+_WORDS = ["heart_rhythm", "oxygen_device", "sedation_level"]
+
 ORACLE = {
+    "p1_values": f"""
+        WITH r AS (
+          SELECT stay_id, CAST(charttime AS BIGINT) AS s, itemid, valuenum, value, storetime, row_id FROM chartevents
+          UNION ALL SELECT stay_id, CAST(timestp AS BIGINT), itemid, valuenum, NULL, storetime, row_id FROM labs_le),
+        x AS (SELECT stay_id, s, concept, CASE WHEN kind <> 'text' AND NOT isnan(valuenum) THEN valuenum END AS num, CASE WHEN kind = 'text' THEN trim(value, ' ') END AS txt,
+          row_number() OVER (ORDER BY coalesce(storetime, -1e300), row_id, coalesce(valuenum, -1e300)) AS pr FROM r JOIN d_items USING (itemid) WHERE stay_id IS NOT NULL AND s IS NOT NULL AND linksto IN ('chartevents', 'labs_le'))
+        SELECT stay_id, s AS charttime_s, {", ".join(f"arg_max(num, pr) FILTER (WHERE concept = '{c}' AND num IS NOT NULL) AS {c}" for c in _NUMBERS)},
+          {", ".join(f"arg_max(txt, pr) FILTER (WHERE concept = '{c}' AND txt IS NOT NULL) AS {c}" for c in _WORDS)} FROM x GROUP BY 1, 2""",
+    "p2_stuck": """
+        WITH m AS (
+          SELECT 'chartevents' AS src_table, row_id, stay_id, itemid, charttime AS t, valuenum AS v FROM chartevents UNION ALL SELECT 'labs_le', row_id, stay_id, itemid, timestp, valuenum FROM labs_le),
+        u AS (SELECT m.* FROM m JOIN d_items USING (itemid) WHERE kind = 'measured' AND stay_id IS NOT NULL AND t IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)),
+        o AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS c, count(*) OVER (PARTITION BY src_table, stay_id, itemid) AS n
+          FROM (SELECT DISTINCT src_table, stay_id, itemid, t, v FROM u) WINDOW w AS (PARTITION BY src_table, stay_id, itemid ORDER BY t, v)),
+        g AS (SELECT *, sum(c) OVER (PARTITION BY src_table, stay_id, itemid ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS k FROM o),
+        z AS (SELECT *, count(*) OVER (PARTITION BY src_table, stay_id, itemid, k) AS l FROM g)
+        SELECT u.src_table, u.row_id FROM u JOIN z USING (src_table, stay_id, itemid, t, v) WHERE l >= 10 AND n >= 9""",
+    "p6_cells": """
+        SELECT stay_id, itemid, CAST(floor(charttime / period_s) AS BIGINT) AS slot, round(avg(valuenum), 4) AS value, count(*) AS n_readings FROM chartevents JOIN d_items USING (itemid)
+        WHERE kind = 'measured' AND stay_id IS NOT NULL AND charttime IS NOT NULL AND valuenum IS NOT NULL AND NOT isnan(valuenum) GROUP BY 1, 2, 3""",
     "p1_found": """
         WITH r AS (
           SELECT stay_id, CAST(charttime AS BIGINT) AS s, itemid, valuenum FROM chartevents
