@@ -41,4 +41,9 @@ QUERIES = {
     "p10_shared": p10_shared,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p10_found": """
+        WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+        SELECT DISTINCT doc_id FROM w JOIN s USING (h)""",
+}
