@@ -59,6 +59,20 @@ def test_blocks_of_items_change_nothing(spark):
     assert set(found(spark, docs, block_items=2)) == set(found(spark, docs)) == {(k, k) for k in ITEMS}
 
 
+def test_half_an_item_without_its_names_is_a_case(spark):
+    ws = ITEMS[4].split()
+    half = " ".join(ws[6:18])  # one pipe ... before another notebook. It takes
+    text = ITEMS[1].replace("Pudil", "Karmo").replace("527", "891").replace("Brornu", "Selvik")
+    assert {(4, 1), (1, 2)} <= set(found(spark, [(1, NOISE + half + " " + NOISE), (2, text), *((k, NOISE * 2) for k in range(3, 40))]))
+
+
+def test_scattered_changes_and_long_foreign_lines_are_found(spark):
+    ws = ITEMS[1].split()
+    every = " ".join("other" if k % 4 == 3 else w for k, w in enumerate(ws))  # no four known words in a row
+    apart = " ".join(ws[:9]) + ".\n" + NOISE * 4 + "\n" + " ".join(ws[9:18])
+    assert set(found(spark, [(1, every), (2, apart), (3, NOISE * 4)])) == {(1, 1), (1, 2)}
+
+
 @pytest.mark.parametrize(("text", "want"), [("Straße", ["strasse"]), ("tÃ¤glich", ["taglich"]), ("a­b", ["ab"]), ("ＡＢ", ["ab"]), ("аpple", ["apple"]), ("", [])])
 def test_folding(text, want):
     assert words(text) == want

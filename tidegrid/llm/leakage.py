@@ -1,4 +1,4 @@
-"""Evaluation passages in training pages: template windows, hash join, slot consistency, exact alignment."""
+"""Evaluation passages in training pages: exact common subsequences of all items at once, slot consistency, alignment."""
 
 from __future__ import annotations
 
@@ -12,98 +12,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .normalise import LOST, could_be, words
+from .normalise import LOST, could_be, fitting, words
 
 # Units of measurement that a template abstracts from.
 UNITS = ("mg", "g", "kg", "ml", "l", "mm", "cm", "m", "km", "s", "min", "h", "usd", "eur", "percent")
-NUMBER, UNIT, NAME = 1, 2, 3  # typed placeholders; words of the lexicon follow
-COVERED = 0.3  # least part of an item's words that lies in windows of the page
-SHORT, LONG = 4, 5  # window of four plain words; window of five with one placeholder inside
+ANCHOR = 4  # words in a row that tie a part of an item to a page beyond a foreign line
+FEWEST = 6  # words of an unbroken half that need no rarity
+PLAIN, HELD = 0.7, 0.85  # shares that alignments of shared phrases don't reach: of words left, and with slots filled anew
 
 
 class Templates:
-    """Template windows of a block of items: the lexicon of their plain words and the hashes of their windows."""
+    """The words of a block of items, their lexicon, their slots, and one bit string of all items for common subsequences."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words = {i: words(t or "") for i, t in items}
+        self.words = {i: ws for i, t in items if len(ws := words(t or "")) >= ANCHOR}
         uses = Counter(w for ws in self.words.values() for w in set(ws))
         plain = {w for i, t in items for w in words(" ".join(x for x in (t or "").split() if x[:1].islower()))}
         # a name is written with a capital wherever it stands and belongs to one item
-        kept = sorted(w for w, n in uses.items() if not w.isdigit() and w not in UNITS and (w in plain or n > 1))
-        self.lexicon = {w: k + NAME + 1 for k, w in enumerate(kept)}
-        self.by_letter: dict[str, list[str]] = {}
-        for w in kept:
-            self.by_letter.setdefault(w[0], []).append(w)
+        self.lexicon = {w for w, n in uses.items() if not w.isdigit() and w not in UNITS and (w in plain or n > 1)}
+        self.slots = {i: {k for k, w in enumerate(ws) if w not in self.lexicon} for i, ws in self.words.items()}
+        self.ids = list(self.words)
+        self.size = np.array([len(ws) for ws in self.words.values()], np.int64)
+        refill = np.array([len(x) for x in self.slots.values()], np.int64)
+        # least common words of a case: half, or so many that with all slots filled anew it is HELD
+        self.need = np.minimum((self.size + 1) // 2, np.maximum(1, np.ceil(HELD * self.size - 1e-9).astype(np.int64) - refill))
+        self.masks: dict[str, int] = {}
+        places: dict[str, list[int]] = {}
+        self.full, at, starts = 0, 0, []
+        for ws in self.words.values():
+            starts.append(at // 8)
+            for k, w in enumerate(ws):
+                places.setdefault(w, []).append(at + k)
+            at += (len(ws) // 8 + 1) * 8  # at least one bit between items stops the carry
+        bits = bytearray(at // 8)
+        for start, m in zip(starts, self.size.tolist(), strict=True):
+            bits[start : start + (m + 7) // 8] = ((1 << m) - 1).to_bytes((m + 7) // 8, "little")
+        self.full, self.bytes, self.starts = int.from_bytes(bits, "little"), at // 8, np.array(starts, np.int64)
+        self.masks = {w: sum(1 << k for k in ks) for w, ks in places.items()}
         self.guesses: dict[str, int] = {}
-        own, at, h = self.hashes(list(self.words.values()))
-        names = list(self.words)
-        self.windows = [(names[o], int(p), int(x), len(self.words[names[o]])) for o, p, x in zip(own, at, h, strict=True)]
-        self.known = np.unique(h)
-
-    def ids(self, ws: list[str]) -> list[int]:
-        """Canonical tokens: lexicon words by number, everything else by its kind of placeholder."""
-        get = self.lexicon.get
-        return [get(w) or (NUMBER if w.isdigit() else UNIT if w in UNITS else self.guess(w) if LOST in w else NAME) for w in ws]
-
-    def guess(self, w: str) -> int:
-        """Token of a word with lost characters."""
+
+    def mask(self, w: str) -> int:
+        """Places of a word with lost characters: of every word that it could be."""
         if w not in self.guesses:
-            known = could_be(w, self.lexicon if w[0] == LOST else self.by_letter.get(w[0], ()))
             if len(self.guesses) > 100_000:
                 self.guesses.clear()
-            self.guesses[w] = self.lexicon[known] if known else NAME
+            out = 0
+            for k in fitting(w, self.masks):
+                out |= self.masks[k]
+            self.guesses[w] = out
         return self.guesses[w]
 
-    def hashes(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, position, hash) of the windows of several word sequences."""
-        sizes = np.array([len(ws) for ws in texts], np.int64)
-        t = np.array([k for ws in texts for k in self.ids(ws)], np.uint64)
-        ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        slot = t <= NAME
-        where, out = [], []
-        for width, slots in ((SHORT, 0), (LONG, 1)):
-            n = max(0, len(t) - width + 1)
-            h, s = np.full(n, width, np.uint64), np.zeros(n, np.int8)
-            for o in range(width):
-                h = (h ^ t[o : o + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-                s += slot[o : o + n]
-            ok = (s == slots) & (owner[:n] == owner[width - 1 : width - 1 + n])
-            if slots:
-                ok &= ~slot[:n] & ~slot[width - 1 : width - 1 + n]
-            f = np.flatnonzero(ok)
-            where.append(f)
-            out.append(h[f].view(np.int64))
-        f = np.concatenate(where)
-        own = owner[f]
-        return own, f - (ends - sizes)[own], np.concatenate(out)
-
-
-def scan_pages(templates: Templates) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of the pages that any item has, and page counts of the lexicon's words (doc_id NULL, hash = word)."""
+    def candidates(self, page: list[str]) -> list[int]:
+        """Items of which the whole page has as many words in order as any case needs: no case is missed."""
+        if not self.ids:
+            return []
+        full = v = self.full
+        get = self.masks.get
+        for y in page:
+            if m := get(y) or (self.mask(y) if LOST in y else 0):
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        left = np.add.reduceat(np.bitwise_count(np.frombuffer(v.to_bytes(self.bytes, "little"), np.uint8)).astype(np.int64), self.starts)
+        return [self.ids[k] for k in np.flatnonzero(self.size - left >= self.need)]
+
+
+def fold_pages(lexicon: set[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages as their words, and page counts of the lexicon's words (doc_id NULL, folded = word)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
-            docs, texts = b.column(0).to_numpy(), []
+            texts = []
             for text in b.column(1).to_pylist():
-                texts.append(ws := words(text))
-                seen.update(templates.lexicon.keys() & ws)
-            own, at, h = templates.hashes(texts)
-            if len(templates.known):
-                ok = templates.known[np.minimum(np.searchsorted(templates.known, h), len(templates.known) - 1)] == h
-                own, at, h = own[ok], at[ok], h[ok]
-            n = len(h)
-            k = len(seen)
+                ws = words(text)
+                texts.append(" ".join(ws))
+                seen.update(lexicon.intersection(ws))
+            n, k = len(texts), len(seen)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(docs[own], pa.int64()), pa.nulls(k, pa.int64())]),
-                    pa.array(np.concatenate([at, np.zeros(k, np.int64)]).astype(np.int32)),
-                    pa.array(np.concatenate([h, np.array([templates.lexicon[w] for w in seen], np.int64)]).astype(np.int64)),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), np.array(list(seen.values()), np.int64)]).astype(np.int64)),
-                ],
-                names=["doc_id", "at", "h", "pages"],
+                [pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(k, pa.int64())]), pa.array([*texts, *seen], pa.string()), pa.array([0] * n + list(seen.values()), pa.int64())],
+                names=["doc_id", "folded", "pages"],
             )
 
     return run
@@ -142,41 +129,72 @@ def _aligned(a: list[str], b: list[str], weight: list[float]) -> list[tuple[int,
     return out[::-1]
 
 
-def judge(item: list[str], page: list[str], diagonals: list[int], rarity: Callable[[str], float], slots: set[int]) -> dict | None:
-    """Best passage of the page for the item: share of words in order, share of their rarity, longest run, bindings of slots."""
+def _unbroken(a: list[str], b: list[str]) -> int:
+    """Length of the longest stretch of a that stands unbroken in b, by bits."""
+    mask: dict[str, int] = {}
+    for k, x in enumerate(a):
+        mask[x] = mask.get(x, 0) | 1 << k
+    ends = [mask.get(y, 0) for y in b]
+    longest = 0
+    while any(ends):
+        longest += 1
+        ends = [(x << 1) & mask.get(y, 0) if x else 0 for x, y in zip(ends, b[longest:], strict=False)]
+    return longest
+
+
+def _runs(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = []
+    for p in pairs:
+        if out and out[-1][-1] == (p[0] - 1, p[1] - 1):
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def judge(item: list[str], page: list[str], rarity: Callable[[str], float], slots: set[int], least_share: float, sure: float) -> dict | None:
+    """Best passage of the page for the item: share of words in order, share of their rarity, longest run, bindings of slots; None if no case."""
     m = len(item)
     own = set(item)
     page = [could_be(w, own) or w if LOST in w else w for w in page]
-    best, where = 0, (0, 0)
-    tried = None
-    for d in sorted(diagonals):
-        if tried is not None and d - tried <= 2:
-            continue
-        tried = d
-        lo, hi = max(0, d - 3), min(len(page), d + m + m // 4 + 12)
-        if (c := _common(item, page[lo:hi])) > best:
-            best, where = c, (lo, hi)
-    if 3 * best < m:
-        return None
-    passage = page[where[0] : where[1]]
     weight = [rarity(w) for w in item]
-    pairs = _aligned(item, passage, [w + 0.1 for w in weight])  # words of every page count a little too
-    to = dict(pairs)
-    bound: dict[str, set[str]] = {}
-    moved = []
-    for k in sorted(slots):
-        if k in to:
-            bound.setdefault(item[k], set()).add(item[k])
-        elif to.get(k - 1, -9) + 2 == to.get(k + 1, -5):
-            bound.setdefault(item[k], set()).add(passage[to[k - 1] + 1])
-            moved.append(k)
-    steady = all(len(v) == 1 for v in bound.values())
-    run = longest = 0
-    for p, q in zip([(-9, -9), *pairs], pairs, strict=False):
-        run = run + 1 if (q[0] - p[0], q[1] - p[1]) == (1, 1) else 1
-        longest = max(longest, run)
-    held = len(pairs) + sum(1 for k in moved if len(bound[item[k]]) == 1)
-    return {"share": held / m, "rarity": sum(weight[i] for i, _ in pairs) / max(sum(weight), 1e-9), "run": longest / m, "rebound": len(moved), "steady": steady}
+    total = max(sum(weight), 1e-9)
+    room = m + m // 4 + 12
+    run = _unbroken(item, page)
+    here = own.intersection(page)
+    most = sum(x for x, w in zip(weight, item, strict=True) if w in here) / total
+    enough = min(math.ceil(PLAIN * m - 1e-9), math.ceil(HELD * m - 1e-9) - len(slots))
+    if 2 * run < m and most < least_share and _common(item, page) < enough:
+        return None
+    step = max(1, m // 4)
+    best, where = 0, 0
+    for lo in range(0, max(1, len(page) - room + step), step):
+        if (c := _common(item, page[lo : lo + room + step])) > best:
+            best, where = c, lo
+
+    def result(passage: list[str], anchored: bool) -> dict | None:
+        pairs = _aligned(item, passage, [w + 0.1 for w in weight])  # words of every page count a little too
+        if anchored:
+            pairs = [p for r in _runs(pairs) if len(r) >= ANCHOR for p in r]
+        to = dict(pairs)
+        bound: dict[str, set[str]] = {}
+        moved = []
+        for k in sorted(slots):
+            if k in to:
+                bound.setdefault(item[k], set()).add(item[k])
+            elif to.get(k - 1, -9) + 2 == to.get(k + 1, -5):
+                bound.setdefault(item[k], set()).add(passage[to[k - 1] + 1])
+                moved.append(k)
+        longest = max(run, *map(len, _runs(pairs)), 0) / m
+        share = max(len(pairs), run) / m
+        held = (len(pairs) + sum(1 for k in moved if len(bound[item[k]]) == 1)) / m
+        rare = sum(weight[i] for i, _ in pairs) / total
+        unbroken = 2 * run >= m and run >= FEWEST
+        case = held >= HELD or (share >= least_share and (unbroken or share >= PLAIN or rare >= sure or (rare >= least_share and longest >= 0.4)))
+        return {"share": max(share, held), "rarity": rare, "run": longest, "rebound": len(moved), "steady": all(len(v) == 1 for v in bound.values())} if case else None
+
+    out = result(page[where : where + room + step], False) if best else None
+    return out or (result(page, True) if run >= ANCHOR and len(page) > room + step else None)
 
 
 def leaked_items(
@@ -186,14 +204,16 @@ def leaked_items(
     """Pages that hold an item's wording, whole or at least half of its words in order in one passage.
 
     Both sides are folded (case, accents, punctuation, spacing, invisible and look-alike letters, doubly encoded bytes) and canonicalised:
-    numbers, units and names become typed placeholders, a word of a page that no item knows counts as a name. Windows of four words, or
-    of five with one placeholder inside, are hashed and joined; a pair's windows must hold 0.3 of the item's words. It is then aligned
-    exactly, over the whole page text near its windows: at least `least_share` of the item's words in order, where a slot filled with other words counts if the
-    filling is consistent, and at least `sure` of the words' rarity (inverse page frequency over all pages), or `least_share` of it with
-    a run of 0.4 of the item unchanged - common phrases of a language alone reach half the words, but not half their rarity.
-
-    Items are taken in blocks of at most block_items, each matched with all pages: what is broadcast is bounded by the block. Items of
-    fewer than four words have no window and are never found. NULL ids or texts match nothing; repeated pages are rows of their own,
+    numbers, units and names are slots. Every page is compared with every item by the exact length of their common subsequence, for all items
+    of a block at once in one bit string; pairs with half of the words (or few enough missing for the slots to make up) are aligned in the
+    best stretch of 1.25 items, or over the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
+    A case has at least `least_share` of the item's words in order. Phrases that pages of a language share reach that by chance, so one of
+    these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the words' rarity (inverse page frequency over all
+    pages), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew, each always alike, is a case from
+    0.85 of the words with the slots.
+
+    Items are taken in blocks of at most block_items, each matched with all pages: what is broadcast is bounded by the block, the time of a
+    page is in proportion to the items' words. Items of fewer than four words are never found. NULL ids or texts match nothing; repeated pages are rows of their own,
     repeated item ids are one item (the larger text); empty tables give an empty result; other columns are ignored.
     Result: item_id, doc_id, share, rarity, run DOUBLE, rebound INT (slots filled anew), steady BOOLEAN (each slot always filled alike).
     """
@@ -210,37 +230,24 @@ def leaked_items(
 
 
 def _block(docs: DataFrame, t: Templates, total: int, least_share: float, sure: float) -> DataFrame:
-    spark = docs.sparkSession
-    hits = materialise(docs.mapInArrow(scan_pages(t), "doc_id BIGINT, at INT, h BIGINT, pages BIGINT"), "windows")
+    folded = materialise(docs.mapInArrow(fold_pages(t.lexicon), "doc_id BIGINT, folded STRING, pages BIGINT"), "folded")
     # word counts are bounded by the lexicon of the block
-    counts = {r.h: r.n for r in hits.where("doc_id IS NULL").groupBy("h").agg(F.sum("pages").alias("n")).collect()}
-    rare = {w: math.log((total + 2) / (counts.get(h, 0) + 1)) for w, h in t.lexicon.items()}
+    counts = {r.folded: r.n for r in folded.where("doc_id IS NULL").groupBy("folded").agg(F.sum("pages").alias("n")).collect()}
     top = math.log(total + 2)
-    windows = spark.createDataFrame(t.windows or [], "item_id BIGINT, p INT, h BIGINT, m INT")
-    pairs = (
-        hits.where("doc_id IS NOT NULL")
-        .join(F.broadcast(windows), "h")
-        .groupBy("doc_id", "item_id", "m")
-        .agg(F.collect_set("p").alias("p"), F.collect_set(F.col("at") - F.col("p")).alias("d"))
-        .where(F.size(F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(p, p + SHORT - 1))))) >= COVERED * F.col("m"))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", "d")).alias("c"))
-    )
-    slots = {i: {k for k, x in enumerate(t.ids(ws)) if x <= NAME} for i, ws in t.words.items()}
+    rare = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for w in t.lexicon}
     names = ("item_id", "doc_id", "share", "rarity", "run", "rebound", "steady")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text, cands in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                page = words(text)
-                for c in cands:
-                    v = judge(t.words[c["item_id"]], page, c["d"], lambda w: rare.get(w, top), slots[c["item_id"]])
-                    if v and v["share"] >= least_share and (v["rarity"] >= sure or (v["rarity"] >= least_share and v["run"] >= 0.4)):
-                        rows.append((c["item_id"], doc, *(v[x] for x in names[2:])))
+            for doc, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                page = text.split()
+                for i in t.candidates(page):
+                    if v := judge(t.words[i], page, lambda w: rare.get(w, top), t.slots[i], least_share, sure):
+                        rows.append((i, doc, *(v[x] for x in names[2:])))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types, strict=True)], names=list(names))
 
     schema = "item_id BIGINT, doc_id BIGINT, share DOUBLE, rarity DOUBLE, run DOUBLE, rebound INT, steady BOOLEAN"
-    return docs.join(pairs, "doc_id").select("doc_id", "text", "c").mapInArrow(verify, schema).dropDuplicates(["item_id", "doc_id"])
+    return folded.where("doc_id IS NOT NULL").select("doc_id", "folded").mapInArrow(verify, schema).dropDuplicates(["item_id", "doc_id"])

@@ -50,9 +50,13 @@ def words(text: str) -> list[str]:
     return [w.translate(_LOOK) if not w.isascii() and _LATIN.search(w) else w for w in found]
 
 
-def could_be(word: str, known: Iterable[str]) -> str | None:
-    """The known word that a word with lost characters most likely was: each lost one stands for none to two. Fewest missing letters first."""
+def fitting(word: str, known: Iterable[str]) -> list[str]:
+    """The known words that a word with lost characters could have been: each lost one stands for none to two."""
     parts = word.split(LOST)
     pattern = re.compile(".{0,2}".join(map(re.escape, parts)))
-    fits = [k for k in known if len(word) - len(parts) < len(k) <= len(word) + len(parts) and pattern.fullmatch(k)] if any(parts) else []
-    return min(fits, key=lambda k: (abs(len(k) - len(word)), k), default=None)
+    return [k for k in known if len(word) - len(parts) < len(k) <= len(word) + len(parts) and pattern.fullmatch(k)] if any(parts) else []
+
+
+def could_be(word: str, known: Iterable[str]) -> str | None:
+    """The known word that a word with lost characters most likely was. Fewest missing letters first."""
+    return min(fitting(word, known), key=lambda k: (abs(len(k) - len(word)), k), default=None)
