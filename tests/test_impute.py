@@ -47,3 +47,18 @@ def test_brute_force_range_search(spark):
     """Without predictors every prediction is the group's mean: any observed row of the group may give."""
     got = run(spark, [(k, None, k % 2, 0.0, 60.0, float(k) if k < 20 else None) for k in range(30)])
     assert len(got) == 10 and all(g.donor_rid % 2 == g.grp and g.fill == g.donor_rid for g in got.values())
+
+
+def test_one_faulty_reading_does_not_blur_the_donors(spark):
+    """Each level has donors of its own prediction; a single impossible reading elsewhere must not make them interchangeable."""
+    data, want = [(0, 999, 1, 0.0, 60.0, 99999.0)], {}
+    for e in range(40):
+        for k in range(12):
+            rid = len(data)
+            gap = k == 5
+            if gap:
+                want[rid] = 36.0 + e / 10
+            data.append((rid, e, 1, k * 60.0, 60.0, None if gap else 36.0 + e / 10))
+    got = run(spark, data)
+    assert got.keys() == want.keys() and all(abs(got[r].fill - y) < 0.051 for r, y in want.items())
+    assert len({g.donor_rid for g in got.values()}) >= 35

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import predict3, ridge3
-from ..session import materialise
+from ..session import materialise, width
 
 
-def _cell(pred: Column, mean: Column, sd: Column, per_sd: int) -> Column:
-    """Cell of a prediction on its group's scale: 1 / per_sd of a standard deviation wide up to six, logarithmic beyond, so that a group
-    has a bounded number of cells whatever its size and outliers."""
-    z = (pred - mean) / sd
-    far = F.signum(z) * (6 * per_sd + F.floor(F.log(F.greatest(F.abs(z), F.lit(6.0)) / 6) * per_sd))
-    return F.coalesce(F.when(F.abs(z) <= 6, F.floor(z * per_sd)).otherwise(far).cast("bigint"), F.lit(0).cast("bigint"))
-
-
-def mean_matching(rows: DataFrame, draws: int = 3, per_sd: int = 200, ridge: float = 10.0, block_periods: int = 24) -> DataFrame:
+def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_periods: int = 24) -> DataFrame:
     """Every missing y filled with the observed y of a donor of the same group whose prediction lies nearest.
 
     rows: rid (unique), entity, grp, t (seconds), period (usual seconds between readings of the group), y DOUBLE (NULL: missing).
     Predictors of a reading: the observed reading before it, the one after it and the mean of the others, all of its entity and group in
     the same block of time (block_periods periods), never itself. One ridge regression per group on all observed rows; rows without
     any predictor, as those without entity, take the group's mean.
-    Donors are searched by ranges of predictions: both sides fall into cells of the group's scale, every cell keeps `draws` donors drawn
-    uniformly (by hash) from all its observed rows, and each wanted cell finds the nearest cells below and above that hold donors; the
-    nearer one gives, of equal ones the lower. Cells are few and bounded, so no task ever holds a group's rows.
+    Donors are searched by their own predictions: distinct predictions of a group are cut by ranges into as many pieces as a shuffle has
+    partitions, each wanted prediction finds the nearest ones below and above that hold donors, within its piece or at the borders of the
+    other pieces; the nearer one gives, of equal ones the lower. Donors of exactly the same prediction are equally near: up to `draws` of
+    them, drawn uniformly (by hash), are kept and take turns by hash of the wanted row.
 
     Result: one row per row with NULL y: rid, grp, fill DOUBLE, donor_rid. A group without observed rows gives NULL for both.
     NaN must be NULL already. Rows without group are left out. Repeated rows are rows of their own. Without missing rows or in an empty table the result is empty.
@@ -46,14 +39,23 @@ def mean_matching(rows: DataFrame, draws: int = 3, per_sd: int = 200, ridge: flo
     for c in ("m0", "m1", "m2", "b0", "b1", "b2"):
         scale = scale.withColumn(c, F.coalesce(c, F.lit(0.0)))
     pred = F.when(F.col("x2").isNull(), F.col("a")).otherwise(predict3([F.col("x0"), F.col("x1"), F.col("x2")]))
-    celled = known.join(scale, "grp", "left").select("rid", "grp", "y", _cell(pred, F.col("a"), F.when(F.col("sd") > 0, F.col("sd")), per_sd).alias("cell"))
-    donors = celled.where("y IS NOT NULL").groupBy("grp", "cell").agg(*[F.max(F.struct(F.xxhash64("rid", F.lit(s)).alias("h"), "rid", "y")).alias(f"d{s}") for s in range(draws)])
-    donors = donors.select("grp", "cell", F.struct(F.col("cell").alias("at"), F.array(*[F.struct(f"d{s}.rid", f"d{s}.y") for s in range(draws)]).alias("d")).alias("don"))
-    wanted = celled.where("y IS NULL").select("rid", "grp", "cell")
-    cells = donors.unionByName(wanted.select("grp", "cell").distinct(), allowMissingColumns=True).groupBy("grp", "cell").agg(F.first("don", True).alias("don"), F.max(F.col("don").isNull()).alias("asked"))
-    up, down = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp").orderBy(F.desc("cell"))
-    near = cells.select("grp", "cell", "asked", F.last("don", True).over(up).alias("lo"), F.last("don", True).over(down).alias("hi")).where("asked")
-    take_hi = F.col("lo").isNull() | ((F.col("hi.at") - F.col("cell")) < (F.col("cell") - F.col("lo.at")))
-    near = near.select("grp", "cell", F.when(take_hi, F.col("hi.d")).otherwise(F.col("lo.d")).alias("d"))
-    got = F.try_element_at("d", (F.pmod(F.xxhash64("rid"), F.lit(draws)) + 1).cast("int"))
-    return wanted.join(near, ["grp", "cell"]).select("rid", "grp", got["y"].alias("fill"), got["rid"].alias("donor_rid"))
+    # written once: sums in another order must not move a prediction between its uses
+    scale = materialise(scale, "models")
+    rated = known.join(F.broadcast(scale), "grp", "left").select("rid", "grp", "y", F.coalesce(F.nanvl(pred, F.lit(0.0)), F.lit(0.0)).alias("at"))
+    drawn = [F.max(F.when(F.col("y").isNotNull(), F.struct(F.xxhash64("rid", F.lit(s)).alias("h"), "rid", "y"))).alias(f"d{s}") for s in range(draws)]
+    donors = F.array_distinct(F.array(*[F.struct(f"d{s}.rid", f"d{s}.y") for s in range(draws)]))
+    points = rated.groupBy("grp", "at").agg(*drawn, F.max(F.col("y").isNull()).alias("asked"))
+    points = points.select("grp", "at", "asked", F.when(F.col("d0").isNotNull(), F.struct("at", donors.alias("d"))).alias("don")).where("grp IS NOT NULL")
+    points = materialise(points.repartitionByRange(width(rows.sparkSession), "grp", "at").withColumn("piece", F.spark_partition_id()), "points")
+    held = F.when(F.col("don").isNotNull(), F.col("at"))
+    edges = points.groupBy("grp", "piece").agg(F.min_by("don", held).alias("first"), F.max_by("don", held).alias("last"))
+    pieces = Window.partitionBy("grp").orderBy("piece")
+    before, after = pieces.rowsBetween(Window.unboundedPreceding, -1), pieces.rowsBetween(1, Window.unboundedFollowing)
+    edges = edges.select("grp", "piece", F.last("last", True).over(before).alias("below"), F.first("first", True).over(after).alias("above"))
+    up, down = Window.partitionBy("grp", "piece").orderBy("at"), Window.partitionBy("grp", "piece").orderBy(F.desc("at"))
+    near = points.select("grp", "piece", "at", "asked", F.last("don", True).over(up).alias("lo"), F.last("don", True).over(down).alias("hi")).where("asked")
+    near = near.join(edges, ["grp", "piece"]).select("grp", "at", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
+    take_hi = F.col("lo").isNull() | ((F.col("hi.at") - F.col("at")) < (F.col("at") - F.col("lo.at")))
+    near = near.select("grp", "at", F.when(take_hi, F.col("hi.d")).otherwise(F.col("lo.d")).alias("d"))
+    got = F.try_element_at("d", (F.pmod(F.xxhash64("rid"), F.greatest(F.size("d"), F.lit(1))) + 1).cast("int"))
+    return rated.where("y IS NULL").join(near, ["grp", "at"]).select("rid", "grp", got["y"].alias("fill"), got["rid"].alias("donor_rid"))
