@@ -71,3 +71,12 @@ def test_token_counts(spark):
     texts = ["Hello  world's 12 cafés", "", None, "<|endoftext|>", "x" * 5000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id BIGINT, text STRING")
     assert {r.id: r.tokens for r in mixing.count_tokens(df, "text").collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("p", "source", "most"), [([0.993] + [0.007 / 6] * 6, "a", 1), ([0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5], "a", 1), ([0.003, 0.0, 0.0, 0.0, 0.0, 0.0, 0.997], "g", 4)])
+def test_soft_members_can_be_used_as_often_as_their_domain_allows(spark, monkeypatch, p, source, most):
+    monkeypatch.setattr(mixing, "posteriors", lambda pages, *_: pages.where("src IS NULL").select("doc_id", mixing.F.array(*[mixing.F.lit(x) for x in p]).alias("p")))
+    targets = [(s, 1 / 7, r) for s, r in zip("abcdefg", (1, 2, 2, 2, 2, 2, 4), strict=True)]
+    docs = [(k, "apple river stone", s) for k, s in enumerate("abcdefg")] + [(9000, "apple river stone", None)]
+    used, _ = run(spark, docs, targets, total_tokens=1e6)  # everything is missing, so every page is used as often as it may
+    assert [(r.source, r.repeats) for r in used if r.doc_id == 9000] == [(source, most)]

@@ -82,8 +82,8 @@ def mix(
     """(mix, shares): how often each page is used so that each source has its target share of the tokens, and what came of it.
 
     Membership is soft: a page with a source that has a target belongs to it; a page without source (NULL) belongs to the domains by the
-    posterior of a classifier of its words and `hints` columns, rounded to hundredths. A page of a source without target is not used.
-    Rates between 0 and the domain's max_repeats (the expected one, for soft members) minimise the squared distance of the domains'
+    posterior of a classifier of its words and `hints` columns, in hundredths that sum to 1 (largest remainders). A page of a source without target is not used.
+    Rates between 0 and the max_repeats of the page's domain (for soft members the one it is reported under) minimise the squared distance of the domains'
     expected token totals from total_tokens x share by projected gradient, whose sums are Spark aggregates over classes of equal
     membership. total_tokens is by default the largest total for which the labelled pages of every domain that has any can reach its share; shares
     of domains without any page are out of reach, and the others keep their proportions; without labelled pages it is 0.
@@ -109,11 +109,11 @@ def mix(
     hard = sized.where(label.isNotNull()).select("doc_id", "tokens", one_hot.alias("p"))
     words = F.concat_ws(" ", *[f"h{j}" for j in range(len(hints))], "text")
     known = base.where(F.col("src").isNull() | label.isNotNull()).select("doc_id", "src", words.alias("f"))
-    guessed = posteriors(known, "f", label, k, fit_rows).select("doc_id", F.transform("p", lambda x: F.round(x, 2)).alias("p"))
+    guessed = posteriors(known, "f", label, k, fit_rows).select("doc_id", _hundredths("p").alias("p"))
     soft = sized.where("src IS NULL").select("doc_id", "tokens").join(guessed.dropDuplicates(["doc_id"]), "doc_id")
     limits = F.array(*[F.lit(float(dm.max_repeats)) for dm in domains])
-    cap = F.floor(F.aggregate(F.zip_with("p", limits, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + 1e-9)
-    member = materialise(hard.unionByName(soft).withColumn("cap", cap.cast("double")), "members")
+    cap = F.element_at(limits, F.array_position("p", F.array_max("p")).cast("int"))
+    member = materialise(hard.unionByName(soft).withColumn("cap", cap), "members")
     classes = materialise(member.groupBy("p", "cap").agg(F.sum("tokens").alias("tokens")), "classes")
 
     at = lambda i: F.element_at("p", i + 1)
@@ -169,6 +169,16 @@ def mix(
     return result, shares
 
 
+def _hundredths(p: str) -> Column:
+    """The array p, of sum 1, in whole hundredths of sum 1: rounded down, the rest to the largest remainders (of equal ones the earlier)."""
+    down = F.transform(p, lambda x: F.floor(x * 100 + 1e-9))
+    rest = F.lit(100) - F.aggregate(down, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    # sorted ascending: the largest remainder has the most negative number
+    order = F.array_sort(F.transform(p, lambda x, i: F.struct((F.floor(x * 100 + 1e-9) - x * 100).alias("r"), i.alias("i"))))
+    place = lambda i: F.array_position(F.transform(order, lambda o: o["i"]), i)
+    return F.transform(down, lambda n, i: (n + (place(i) <= rest).cast("int")) / 100.0)
+
+
 def _walk(steps: list[list[float]]) -> Column:
     """Projected-gradient steps from column r: each moves a page by its memberships and stays between 0 and cap."""
     return reduce(lambda r, s: F.greatest(F.lit(0.0), F.least(F.col("cap"), r + sum((F.element_at("p", i + 1) * x for i, x in enumerate(s)), F.lit(0.0)))), steps, F.col("r"))
