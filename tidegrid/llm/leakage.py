@@ -24,7 +24,7 @@ PLAIN, HELD = 0.7, 0.85  # shares that alignments of shared phrases don't reach:
 class Templates:
     """The words of a block of items, their lexicon, their slots, and one bit string of all items for common subsequences."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least_share: float = 0.5):
         self.words = {i: ws for i, t in items if len(ws := words(t or "")) >= ANCHOR}
         uses = Counter(w for ws in self.words.values() for w in set(ws))
         plain = {w for i, t in items for w in words(" ".join(x for x in (t or "").split() if x[:1].islower()))}
@@ -34,8 +34,8 @@ class Templates:
         self.ids = list(self.words)
         self.size = np.array([len(ws) for ws in self.words.values()], np.int64)
         refill = np.array([len(x) for x in self.slots.values()], np.int64)
-        # least common words of a case: half, or so many that with all slots filled anew it is HELD
-        self.need = np.minimum((self.size + 1) // 2, np.maximum(1, np.ceil(HELD * self.size - 1e-9).astype(np.int64) - refill))
+        # least common words of a case: least_share, or so many that with all slots filled anew it is HELD
+        self.need = np.minimum(np.ceil(least_share * self.size - 1e-9).astype(np.int64), np.maximum(1, np.ceil(HELD * self.size - 1e-9).astype(np.int64) - refill))
         self.masks: dict[str, int] = {}
         places: dict[str, list[int]] = {}
         self.full, at, starts = 0, 0, []
@@ -164,7 +164,7 @@ def judge(item: list[str], page: list[str], rarity: Callable[[str], float], slot
     here = own.intersection(page)
     most = sum(x for x, w in zip(weight, item, strict=True) if w in here) / total
     enough = min(math.ceil(PLAIN * m - 1e-9), math.ceil(HELD * m - 1e-9) - len(slots))
-    if 2 * run < m and most < least_share and _common(item, page) < enough:
+    if 2 * run < m and most < min(least_share, sure) and _common(item, page) < enough:
         return None
     step = max(1, m // 4)
     best, where = 0, 0
@@ -224,7 +224,7 @@ def leaked_items(
     out = None
     for k in range(blocks):
         part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else held
-        found = _block(docs, Templates([(r.item_id, r.text) for r in part.collect()]), total, least_share, sure)
+        found = _block(docs, Templates([(r.item_id, r.text) for r in part.collect()], least_share), total, least_share, sure)
         out = found if out is None else out.unionByName(found)
     return out
 
