@@ -1,6 +1,6 @@
 import random
 
-from tidegrid.operators.nearest import nearest_in_time
+from tidegrid.operators.closest import closest_event
 
 LS, RS = "stay BIGINT, aid BIGINT, at DOUBLE, _cell STRING", "stay BIGINT, cid BIGINT, ct DOUBLE, _cell STRING"
 
@@ -8,7 +8,7 @@ LS, RS = "stay BIGINT, aid BIGINT, at DOUBLE, _cell STRING", "stay BIGINT, cid B
 def run(spark, left, right, tol):
     lf = spark.createDataFrame([(*r, "x") for r in left], LS)
     rt = spark.createDataFrame([(*r, "y") for r in right], RS)
-    return sorted((r.aid, r.cid, r.distance) for r in nearest_in_time(lf, rt, "stay", "aid", "at", "cid", "ct", tol).collect())
+    return sorted((r.aid, r.cid, r.distance) for r in closest_event(lf, rt, "stay", "aid", "at", "cid", "ct", tol).collect())
 
 
 def brute(left, right, tol):

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import grid_fill, impute, intervals, nearest, orphans, spikes, wide
+from .operators import grid_fill, impute, intervals, orphans, spikes, wide
 from .sources.tables import table
 
-TOLERANCE_S = 259_200.0
-
-
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """chartevents and labs_le as attribute-value rows, the attribute being the concept."""
     items = table(spark, d, "d_items").select("itemid", "concept", "kind")
@@ -96,10 +93,6 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(p3_orphans(spark, d))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nearest.nearest_in_time(table(spark, d, "abx"), table(spark, d, "bacterio"), "stay_id", "abx_id", "starttime", "bact_id", "charttime", TOLERANCE_S).select("abx_id", "bact_id")
-
-
 def _fluid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return intervals.periods_and_pauses(table(spark, d, "fluid"), "stay_id", "starttime", "endtime")
 
@@ -135,7 +128,8 @@ def p4_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_filled(spark, d).select("row_id")
+    """Missing rows that a donor fills."""
+    return p4_filled(spark, d).where("filled").select("row_id")
 
 
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +144,8 @@ def p6_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_grid(spark, d).where("filled").select("stay_id", "itemid", "slot")
+    """Empty slots that the regression fills: a slot without a finite prediction is no case."""
+    return p6_grid(spark, d).where("filled AND value IS NOT NULL AND NOT isnan(value)").select("stay_id", "itemid", "slot")
 
 
 QUERIES = {
@@ -165,7 +160,6 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_filled": p4_filled,
-    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_grid": p6_grid,
     "p6_cells": p6_cells,
@@ -176,7 +170,24 @@ QUERIES = {
 _NUMBERS = ["arterial_co2_pressure", "creatinine", "dbp", "fio2", "glucose", "heart_rate", "hemoglobin", "lactate", "map", "peep", "ph_arterial", "platelets", "potassium", "respiratory_rate", "sbp", "sodium", "spo2", "temp_c", "tidal_volume", "wbc"]
 _WORDS = ["heart_rhythm", "oxygen_device", "sedation_level"]
 
+_CASCADE = """
+        i AS (SELECT DISTINCT stay_id, hadm_id, epoch(loadtime) AS a, epoch(deletedtime) AS z FROM icustays),
+        d AS (SELECT DISTINCT hadm_id, epoch(loadtime) AS a, epoch(deletedtime) AS z FROM admissions),
+        v AS (SELECT *, hadm_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d WHERE d.hadm_id = i.hadm_id AND coalesce(d.a, '-infinity'::DOUBLE) <= i.a AND coalesce(d.z, 'infinity'::DOUBLE) > i.a) AS bad FROM i),
+        r AS (
+          SELECT 'abx' AS src_table, abx_id AS rec_id, stay_id, storetime AS seen_at FROM abx WHERE stay_id IS NOT NULL
+          UNION ALL SELECT 'bacterio', bact_id, stay_id, storetime FROM bacterio WHERE stay_id IS NOT NULL),
+        n AS (SELECT r.src_table, r.rec_id, r.seen_at, count(v.stay_id) AS alive, count(v.stay_id) FILTER (WHERE NOT bad) AS sound FROM r
+          LEFT JOIN v ON v.stay_id = r.stay_id AND coalesce(v.a, '-infinity'::DOUBLE) <= r.seen_at AND coalesce(v.z, 'infinity'::DOUBLE) > r.seen_at GROUP BY 1, 2, 3),
+        o AS (
+          SELECT src_table, 'stay_id' AS ref_col, rec_id, 'icustays' AS parent_table, CASE WHEN alive = 0 THEN 'direct' ELSE 'inherited' END AS kind, CASE WHEN alive = 0 THEN 0 ELSE 1 END AS depth, seen_at FROM n WHERE sound = 0
+          UNION SELECT 'icustays', 'hadm_id', stay_id, 'admissions', 'direct', 0, a FROM v WHERE bad
+          UNION SELECT 'bacterio', 'hadm_id', bact_id, 'admissions', 'direct', 0, storetime FROM bacterio b WHERE hadm_id IS NOT NULL AND NOT EXISTS (
+            SELECT 1 FROM d WHERE d.hadm_id = b.hadm_id AND coalesce(d.a, '-infinity'::DOUBLE) <= b.storetime AND coalesce(d.z, 'infinity'::DOUBLE) > b.storetime))"""
+
 ORACLE = {
+    "p3_orphans": f"WITH {_CASCADE} SELECT * FROM o",
+    "p3_report": f"WITH {_CASCADE} SELECT src_table, ref_col, kind, strftime(make_timestamp(CAST(seen_at * 1000000 AS BIGINT)), '%Y-%m') AS month, count(*) AS n FROM o GROUP BY 1, 2, 3, 4",
     "p1_values": f"""
         WITH r AS (
           SELECT stay_id, CAST(charttime AS BIGINT) AS s, itemid, valuenum, value, storetime, row_id FROM chartevents
@@ -217,10 +228,6 @@ ORACLE = {
         SELECT row_id FROM chartevents JOIN d_items USING (itemid)
         WHERE (kind IN ('measured', 'setting') AND (valuenum IS NULL OR isnan(valuenum)))
            OR (kind = 'text' AND (value IS NULL OR NOT list_contains(list_transform(categories, lambda c: lower(c)), lower(regexp_replace(value, '^\s+|\s+$', '', 'g')))))""",
-    "p5_found": """
-        SELECT abx_id, bact_id FROM (
-          SELECT a.abx_id, b.bact_id, row_number() OVER (PARTITION BY a.abx_id ORDER BY abs(a.starttime - b.charttime), b.charttime, b.bact_id) AS r
-          FROM abx a JOIN bacterio b ON a.stay_id = b.stay_id AND abs(a.starttime - b.charttime) <= 259200) WHERE r = 1""",
     "p6_found": """
         WITH s AS (
           SELECT DISTINCT stay_id, itemid, period_s, CAST(floor(charttime / period_s) AS BIGINT) AS slot FROM chartevents JOIN d_items USING (itemid)

@@ -14,10 +14,10 @@ DAY = 86400.0
 
 
 def _features(slot: Column) -> list[Column]:
-    """Days since the series' origin, and the daily harmonic."""
+    """Days, and the daily harmonic. The equations are centred, so the trend needs no origin of its own."""
     mid = (slot.cast("double") + 0.5) * F.col("period")
     phase = F.pmod(mid, F.lit(DAY)) * (2 * math.pi / DAY)
-    return [(mid - F.col("origin")) / DAY, F.cos(phase), F.sin(phase)]
+    return [mid / DAY, F.cos(phase), F.sin(phase)]
 
 
 def _predict(slot: Column) -> Column:
@@ -52,10 +52,9 @@ def regular_grid(
     across = ends.select("e", "i", "period", F.col("last").alias("p"), F.lead("first").over(Window.partitionBy("e", "i").orderBy("block")).alias("q"))
     apart = F.col("q.slot") - F.col("p.slot")
     gaps = within.unionByName(across).where((apart > 1) & (apart * F.col("period") <= max_gap_s))
-    start = ends.groupBy("e", "i").agg(F.min(F.col("first.slot") * F.col("period")).alias("origin"))
-    x = _features(F.col("slot"))
-    rows_x = cells.join(start, ["e", "i"]).select("e", "i", "y", *[c.alias(f"x{k}") for k, c in enumerate(x)])
-    model = ridge3(rows_x, ["e", "i"], ("x0", "x1", "x2"), "y", ridge).drop("n").join(start, ["e", "i"])
+    # covariances are taken where the cells lie and merge per series, so a busy series sends one row a task
+    rows_x = cells.select("e", "i", "y", *[c.alias(f"x{k}") for k, c in enumerate(_features(F.col("slot")))])
+    model = ridge3(rows_x, ["e", "i"], ("x0", "x1", "x2"), "y", ridge).drop("n")
     g = gaps.join(model, ["e", "i"]).select("*", (F.col("p.y") - _predict(F.col("p.slot"))).alias("ra"), (F.col("q.y") - _predict(F.col("q.slot"))).alias("rb"))
     g = g.select("*", F.explode(F.sequence(F.col("p.slot") + 1, F.col("q.slot") - 1)).alias("slot"))
     share = (F.col("slot") - F.col("p.slot")) / apart

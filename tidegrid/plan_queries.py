@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import carry, clean, cohort, evaluate, flags, grid, knn, models
+from .operators import carry, clean, closest, cohort, evaluate, flags, grid, knn, models
 from .plans import imputation
 from .plans.trajectory import CONCEPTS, HOUR, Trajectories
 from .sources.tables import epoch, nan_to_null, table
@@ -215,11 +215,9 @@ def key_resolution_last_match(spark, d):
 @query("""WITH p AS (SELECT event_id AS a_id, user_id, epoch(ts) AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS c_id, user_id, epoch(ts) AS t FROM events WHERE event_type = 'error')
   SELECT a_id, c_id FROM (SELECT a_id, c_id, row_number() OVER (PARTITION BY a_id ORDER BY abs(p.t - c.t), c.t, c_id) AS r FROM p JOIN c USING (user_id) WHERE abs(p.t - c.t) <= 259200) WHERE r = 1""")
 def nearest_event_pair(spark, d):
-    from .operators.nearest import nearest_in_time
-
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", epoch("ts").alias("t"))
     p, c = e.where("event_type = 'purchase'"), e.where("event_type = 'error'")
-    return nearest_in_time(p.withColumnRenamed("event_id", "a_id"), c.withColumnRenamed("event_id", "c_id"), "user_id", "a_id", "t", "c_id", "t", 72 * HOUR).select("a_id", "c_id")
+    return closest.closest_event(p.withColumnRenamed("event_id", "a_id"), c.withColumnRenamed("event_id", "c_id"), "user_id", "a_id", "t", "c_id", "t", 72 * HOUR).select("a_id", "c_id")
 
 
 @query(f"WITH {ONSET} SELECT stay_id, onset_time FROM onset")
