@@ -1,6 +1,9 @@
 import random
+import time
 
-from tidegrid.operators.intervals import periods_and_pauses
+import numpy as np
+
+from tidegrid.operators.intervals import merge_lists, periods_and_pauses
 
 SCHEMA = "stay BIGINT, a DOUBLE, z DOUBLE, _e STRING, s STRING, _block BIGINT"
 
@@ -48,3 +51,28 @@ def test_touching_nested_nulls_repeats(spark):
 def test_empty(spark):
     p, g = periods_and_pauses(make(spark, []), "stay", "a", "z")
     assert p.count() == 0 and g.count() == 0
+
+
+def test_linear_merge_of_sorted_lists():
+    rng = np.random.default_rng(1)
+    lists, rows = [], []
+    for n in (0, 1, 5, 40, 7):
+        s = np.sort(rng.choice(500, n, replace=False)).astype(float) * 10
+        z = s + rng.integers(1, 10, n)
+        lists.append((s, z))
+        rows += [(1, float(a), float(b)) for a, b in zip(s, z)]
+    s, z = merge_lists(lists)
+    assert {(1, a, b) for a, b in zip(s.tolist(), z.tolist())} == brute(rows)[0]
+
+
+def test_many_intervals_of_one_entity_in_one_block(spark):
+    df = spark.range(100_000).selectExpr("1L AS stay", "CAST(id * 0.8 AS DOUBLE) AS a", "CAST(id * 0.8 + 0.5 AS DOUBLE) AS z")
+    t = time.time()
+    p, g = periods_and_pauses(df, "stay", "a", "z")
+    assert p.count() == 100_000 and g.count() == 99_999
+    assert time.time() - t < 60
+
+
+def test_text_entity(spark):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 3.0, 4.0), ("b", 0.0, 1.0)], "who STRING, a DOUBLE, z DOUBLE")
+    assert [tuple(r) for r in periods_and_pauses(df, "who", "a", "z")[1].collect()] == [("a", 1.0, 3.0)]

@@ -2,76 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST = "ARRAY<STRUCT<s: DOUBLE, e: DOUBLE>>"
+from ..functions.arrow import starts, whole_groups
+from ..session import materialise, width
+
+LISTS = "_e STRING, _block BIGINT, _node INT, _s ARRAY<DOUBLE>, _z ARRAY<DOUBLE>"
+
+
+def _disjoint(s: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over intervals sorted by start: disjoint ones; touching ones join."""
+    if not len(s):
+        return s, z
+    reach = np.maximum.accumulate(z)
+    new = np.flatnonzero(np.append(True, s[1:] > reach[:-1]))
+    return s[new], reach[np.append(new[1:], len(s)) - 1]
+
 
+def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Linear merge of sorted disjoint lists, two at a time: positions in the merged list by one search, no sorting."""
+    while len(lists) > 1:
+        merged = []
+        for (a, az), (b, bz) in zip(lists[::2], lists[1::2], strict=False):
+            s, z = np.empty(len(a) + len(b)), np.empty(len(a) + len(b))
+            at = np.arange(len(a)) + np.searchsorted(b, a, side="left")
+            rest = np.ones(len(s), bool)
+            rest[at] = False
+            s[at], z[at] = a, az
+            s[rest], z[rest] = b, bz
+            merged.append(_disjoint(s, z))
+        lists = merged + (lists[-1:] if len(lists) % 2 else [])
+    return lists[0]
 
-def merge_sorted(intervals: Column) -> Column:
-    """Linear merge: intervals sorted by start, read once, to a sorted list of disjoint ones; touching ones join."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), joined).otherwise(F.concat(acc, F.array(x)))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    e, b, n, s, z = zip(*rows, strict=True)
+    lists = [pa.array(x, pa.list_(pa.float64())) for x in (s, z)]
+    return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), *lists], names=["_e", "_block", "_node", "_s", "_z"])
 
-    return F.aggregate(intervals, F.expr(f"CAST(array() AS {LIST})"), step)
+
+def _leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of sorted rows; a part of more rows gives several lists."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        e, b, n, s, z = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_e", "_block", "_node", "s", "z"))
+        at = np.flatnonzero(starts(e, b, n))
+        yield _batch([(e[f], b[f], n[f], *_disjoint(s[f:t], z[f:t])) for f, t in zip(at, np.append(at[1:], len(s)), strict=True)])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list per node from its lists."""
+    for c in whole_groups(batches, ("_e", "_block", "_node")):
+        at = np.flatnonzero(starts(c["_e"], c["_block"], c["_node"]))
+        yield _batch([(c["_e"][f], c["_block"][f], c["_node"][f], *merge_lists(list(zip(c["_s"][f:t], c["_z"][f:t], strict=True)))) for f, t in zip(at, np.append(at[1:], len(c["_e"])), strict=True)])
 
 
 def disjoint_lists(df: DataFrame, entity: str, start: str, end: str, block_s: float = 86400.0, salts: int = 8, fan_in: int = 4) -> DataFrame:
     """The mergeable aggregate: per entity and block of start times, one sorted list of disjoint intervals.
 
-    Equal starts collapse first (map-side); partial lists are built per salt and combined by linear merge, fan_in at a time, until one
-    is left per block. A list never outgrows its block of time, however many rows an entity has. Result: _e, _block, _list.
+    Equal starts collapse first (map-side); partial lists are built per salt from sorted rows in one pass and combined by linear merges,
+    fan_in salts at a time, until one is left per block. A list never outgrows its block of time, however many rows an entity has.
+    Result: _e (the entity as text), _block, _s, _z (starts and ends).
     """
-    lvl = (
-        df.select(F.col(entity).alias("_e"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
-        .where("_e IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL AND NOT isnan(s) AND NOT isnan(e) AND e > s")
+    n = width(df.sparkSession)
+    keys = ["_e", "_block", "_node"]
+    rows = (
+        df.select(F.col(entity).cast("string").alias("_e"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("z"))
+        .where("_e IS NOT NULL AND s IS NOT NULL AND z IS NOT NULL AND NOT isnan(s) AND NOT isnan(z) AND z > s")
         .groupBy("_e", "s")
-        .agg(F.max("e").alias("e"))
-        .withColumn("_block", F.floor(F.col("s") / block_s))
-        .withColumn("_node", F.pmod(F.xxhash64("s"), F.lit(salts)))
-        .groupBy("_e", "_block", "_node")
-        .agg(merge_sorted(F.array_sort(F.collect_list(F.struct("s", "e")))).alias("_list"))
+        .agg(F.max("z").alias("z"))
+        .select("_e", F.floor(F.col("s") / block_s).alias("_block"), F.pmod(F.xxhash64("s"), F.lit(salts)).cast("int").alias("_node"), "s", "z")
     )
-    while salts > 1:
+    lists = rows.repartition(n, *keys).sortWithinPartitions(*keys, "s").mapInArrow(_leaves, LISTS)
+    while True:  # a node may have several lists even with one salt
         salts = -(-salts // fan_in)
-        lvl = lvl.groupBy("_e", "_block", F.floor(F.col("_node") / fan_in).alias("_node")).agg(merge_sorted(F.array_sort(F.flatten(F.collect_list("_list")))).alias("_list"))
-    return lvl.select("_e", "_block", "_list")
+        lists = lists.withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int")).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_merge, LISTS)
+        if salts == 1:
+            return lists.drop("_node")
 
 
 def periods_and_pauses(df: DataFrame, entity: str, start: str, end: str, block_s: float = 86400.0) -> tuple[DataFrame, DataFrame]:
     """(periods, pauses): continuous periods (entity, start, end) and the pauses between them (entity, gap_start, gap_end).
 
     Only rows with entity, both times and end > start count; touching intervals are one period. Lists of blocks need of earlier ones
-    only how far those reach, so above the blocks that number is combined instead of the lists; the outcome is the same as that of
-    merging whole lists, and no node grows with its entity. Repeated rows change nothing; empty tables give empty results; an entity
-    with one period has no pause. The entity keeps its name in the results; other columns are ignored.
+    only how far those reach, so above the blocks that number is combined instead of the lists: windows hold one number per block of an
+    entity, and the outcome is the same as that of merging whole lists. Repeated rows change nothing; empty tables give empty results;
+    an entity with one period has no pause. The entity keeps its name and type in the results; other columns are ignored.
     """
+    kind = df.schema[entity].dataType
+    lists = materialise(disjoint_lists(df, entity, start, end, block_s), "lists")
     by_block = Window.partitionBy("_e").orderBy("_block")
-    reach = F.max(F.element_at("_list", -1)["e"]).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
-    seen = disjoint_lists(df, entity, start, end, block_s).withColumn("_reach", reach)
-    covered = lambda x: F.col("_reach").isNotNull() & (x["s"] <= F.col("_reach"))
+    reach = lists.select("_e", "_block", F.max(F.element_at("_z", -1)).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("_reach"))
     # what begins after everything before it has ended opens a period; the rest prolongs the one that reaches into the block
-    split = seen.select(
-        "_e", "_block", F.filter("_list", lambda x: ~covered(x)).alias("_open"),
-        F.when(F.col("_reach").isNotNull(), F.greatest("_reach", F.array_max(F.transform(F.filter("_list", covered), lambda x: x["e"])))).alias("_cover"),
+    n = F.when(F.col("_reach").isNull(), 0).otherwise(F.size(F.filter("_s", lambda s: s <= F.col("_reach"))))
+    split = lists.join(reach, ["_e", "_block"]).withColumn("_n", n).select(
+        "_e", "_block", F.slice("_s", F.col("_n") + 1, F.size("_s")).alias("_s"), F.slice("_z", F.col("_n") + 1, F.size("_s")).alias("_z"),
+        F.when(F.col("_reach").isNotNull(), F.greatest("_reach", F.when(F.col("_n") > 0, F.try_element_at("_z", F.greatest(F.col("_n"), F.lit(1)))))).alias("_cover"),
     )
-    chain = F.when(F.col("_cover").isNull(), F.col("_open")).otherwise(F.concat(F.array(F.struct(F.lit(float("-inf")).alias("s"), F.col("_cover").alias("e"))), F.col("_open")))
-    pauses = (
-        split.select("_e", chain.alias("_c"))
-        .where(F.size("_c") > 1)
-        .select("_e", F.explode(F.transform(F.sequence(F.lit(2), F.size("_c")), lambda i: F.struct(F.element_at("_c", i - 1)["e"].alias("a"), F.element_at("_c", i)["s"].alias("b")))).alias("_g"))
-        .select(F.col("_e").alias(entity), F.col("_g.a").alias("gap_start"), F.col("_g.b").alias("gap_end"))
-    )
+    opened = split.where(F.size("_s") > 0)
+    first = F.col("_cover").isNull()
+    ends = F.slice("_z", F.lit(1), F.size("_z") - 1)
+    gap_a = F.when(first, ends).otherwise(F.concat(F.array("_cover"), ends))
+    gap_b = F.when(first, F.slice("_s", F.lit(2), F.size("_s"))).otherwise(F.col("_s"))
+    back = F.col("_e").cast(kind).alias(entity)
+    pauses = opened.select("_e", F.explode(F.arrays_zip(gap_a.alias("a"), gap_b.alias("b"))).alias("_g")).select(back, F.col("_g.a").alias("gap_start"), F.col("_g.b").alias("gap_end"))
     # a block's last open interval ends where the next block that opens one says its cover ends, else at the entity's last reach
-    total = F.max(F.greatest("_cover", F.try_element_at("_open", F.lit(-1))["e"])).over(Window.partitionBy("_e"))
-    opened = split.select("_e", "_block", "_open", "_cover", total.alias("_total")).where(F.size("_open") > 0)
-    close = F.coalesce(F.lead("_cover").over(by_block), F.col("_total"))
-    periods = (
-        opened.select("_e", "_open", close.alias("_close"))
-        .select("_e", F.explode(F.transform("_open", lambda x: F.struct(x["s"].alias("a"), F.when(x["s"] == F.element_at("_open", -1)["s"], F.col("_close")).otherwise(x["e"]).alias("b")))).alias("_p"))
-        .select(F.col("_e").alias(entity), F.col("_p.a").alias("period_start"), F.col("_p.b").alias("period_end"))
-    )
-    return periods, pauses
+    total = F.max(F.element_at("_z", -1)).over(Window.partitionBy("_e"))
+    last = lists.select("_e", "_block", total.alias("_total"))
+    close = opened.select("_e", "_block", F.lead("_cover").over(by_block).alias("_next"))
+    finish = F.concat(ends, F.array(F.coalesce("_next", "_total")))
+    periods = opened.join(close, ["_e", "_block"]).join(last, ["_e", "_block"]).select("_e", F.explode(F.arrays_zip(F.col("_s").alias("a"), finish.alias("b"))).alias("_p"))
+    return periods.select(back, F.col("_p.a").alias("period_start"), F.col("_p.b").alias("period_end")), pauses
