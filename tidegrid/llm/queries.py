@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, mixing, shared_spans
+from . import leakage, mixing, nearest, shared_spans
+
+TOLERANCE_S = 259_200.0
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest_in_time(table(spark, d, "abx"), table(spark, d, "bacterio"), "stay_id", "abx_id", "starttime", "bact_id", "charttime", TOLERANCE_S).select("abx_id", "bact_id")
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +39,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_mix": p9_mix,
@@ -42,6 +49,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p5_found": """
+        SELECT abx_id, bact_id FROM (
+          SELECT a.abx_id, b.bact_id, row_number() OVER (PARTITION BY a.abx_id ORDER BY abs(a.starttime - b.charttime), b.charttime, b.bact_id) AS r
+          FROM abx a JOIN bacterio b ON a.stay_id = b.stay_id AND abs(a.starttime - b.charttime) <= 259200) WHERE r = 1""",
     "p10_found": """
         WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
         s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
