@@ -54,9 +54,39 @@ def test_missing_empty_repeated_and_long(spark):
     assert found(spark, [], items) == {} and found(spark, docs, {}) == {}
 
 
-def test_blocks_of_items_change_nothing(spark):
-    docs = [(k, NOISE + t) for k, t in ITEMS.items()]
-    assert set(found(spark, docs, block_items=2)) == set(found(spark, docs)) == {(k, k) for k in ITEMS}
+def test_one_lexicon_over_all_items(spark):
+    """Words that two items share are plain in both, wherever the items lie; an item with its names and numbers filled anew is found."""
+    pair = {1: "We saw Zorblax and Quimby near Velden with Arnau in Kester today.", 2: "They met Zorblax and Quimby at Velden where Arnau lost Kester again.", **{k + 10: t for k, t in ITEMS.items()}}
+    docs = [(k, NOISE + t) for k, t in pair.items()]
+    assert set(found(spark, docs, pair)) == {(k, k) for k in pair}
+
+
+APPLES = "Alice bought 12 apples and 7 pears for 45 dollars in London before she sold 9 of the apples to Robert for 3 dollars each."
+
+
+def test_a_question_with_new_parameters(spark):
+    new = "Bruno bought 15 apples and 4 pears for 61 dollars in Madrid before she sold 8 of the apples to Martha for 2 dollars each."
+    got = found(spark, [(1, NOISE + new + NOISE), *((k, NOISE * 2) for k in range(2, 30))], {1: APPLES})
+    assert set(got) == {(1, 1)} and got[1, 1].steady and got[1, 1].rebound == 8
+
+
+def test_unsteady_slots_do_not_count(spark):
+    """A name that the item repeats must be filled alike each time."""
+    item = "When Zorlax met Pimby at Kurdel then Zorlax gave Pimby a key and Pimby took Zorlax home with Pimby near Kurdel since Zorlax and Pimby wanted to stay."
+    fill = lambda f: " ".join(f(w) for w in item.split())
+    names = iter("Ada Bea Cleo Dora Eda Flora Gina Hana Ida Jana Kira Lina".split())
+    steady, mixed = fill(lambda w: {"Zorlax": "Marok", "Pimby": "Tulda", "Kurdel": "Ostend"}.get(w, w)), fill(lambda w: next(names) if w in ("Zorlax", "Pimby", "Kurdel") else w)
+    docs = [(1, steady), (2, mixed), *((k, NOISE * 2) for k in range(3, 30))]
+    got = found(spark, docs, {1: item})
+    assert (1, 1) in got and got[1, 1].steady and got[1, 1].share > 0.95
+    assert (1, 2) not in got or (not got[1, 2].steady and got[1, 2].share < 0.85)
+
+
+def test_common_windows_only(spark):
+    """An item of phrases that every page uses has no rare window; it keeps them all."""
+    item = "Nobody there sells old paper boats to strangers from Holm while the plain folder waters every basin."
+    docs = [(k, NOISE) for k in range(1, 60)] + [(100, item)]
+    assert (1, 100) in found(spark, docs, {1: item})
 
 
 def test_half_an_item_without_its_names_is_a_case(spark):

@@ -1,97 +1,148 @@
-"""Evaluation passages in training pages: exact common subsequences of all items at once, slot consistency, alignment."""
+"""Evaluation passages in training pages: template windows joined by hash, slot consistency, alignment."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .normalise import LOST, could_be, fitting, words
+from ..session import broadcast_if_small, materialise
+from .normalise import LOST, could_be, words
 
 # Units of measurement that a template abstracts from.
 UNITS = ("mg", "g", "kg", "ml", "l", "mm", "cm", "m", "km", "s", "min", "h", "usd", "eur", "percent")
 ANCHOR = 4  # words in a row that tie a part of an item to a page beyond a foreign line
 FEWEST = 6  # words of an unbroken half that need no rarity
 PLAIN, HELD = 0.7, 0.85  # shares that alignments of shared phrases don't reach: of words left, and with slots filled anew
+GAPS = 3  # a window is two words at most so far apart: what stands between them may differ
+BITS = 1 << 24  # of a bitmap of hashes: what is broadcast never grows
+CHARS = 1_000_000  # characters of pages worked on at a time
 
 
-class Templates:
-    """The words of a block of items, their lexicon, their slots, and one bit string of all items for common subsequences."""
-
-    def __init__(self, items: list[tuple[int, str]], least_share: float = 0.5):
-        self.words = {i: ws for i, t in items if len(ws := words(t or "")) >= ANCHOR}
-        uses = Counter(w for ws in self.words.values() for w in set(ws))
-        plain = {w for i, t in items for w in words(" ".join(x for x in (t or "").split() if x[:1].islower()))}
-        # a name is written with a capital wherever it stands and belongs to one item
-        self.lexicon = {w for w, n in uses.items() if not w.isdigit() and w not in UNITS and (w in plain or n > 1)}
-        self.slots = {i: {k for k, w in enumerate(ws) if w not in self.lexicon} for i, ws in self.words.items()}
-        self.ids = list(self.words)
-        self.size = np.array([len(ws) for ws in self.words.values()], np.int64)
-        refill = np.array([len(x) for x in self.slots.values()], np.int64)
-        # least common words of a case: least_share, or so many that with all slots filled anew it is HELD
-        self.need = np.minimum(np.ceil(least_share * self.size - 1e-9).astype(np.int64), np.maximum(1, np.ceil(HELD * self.size - 1e-9).astype(np.int64) - refill))
-        self.masks: dict[str, int] = {}
-        places: dict[str, list[int]] = {}
-        self.full, at, starts = 0, 0, []
-        for ws in self.words.values():
-            starts.append(at // 8)
-            for k, w in enumerate(ws):
-                places.setdefault(w, []).append(at + k)
-            at += (len(ws) // 8 + 1) * 8  # at least one bit between items stops the carry
-        bits = bytearray(at // 8)
-        for start, m in zip(starts, self.size.tolist(), strict=True):
-            bits[start : start + (m + 7) // 8] = ((1 << m) - 1).to_bytes((m + 7) // 8, "little")
-        self.full, self.bytes, self.starts = int.from_bytes(bits, "little"), at // 8, np.array(starts, np.int64)
-        self.masks = {w: sum(1 << k for k in ks) for w, ks in places.items()}
-        self.guesses: dict[str, int] = {}
-
-    def mask(self, w: str) -> int:
-        """Places of a word with lost characters: of every word that it could be."""
-        if w not in self.guesses:
-            if len(self.guesses) > 100_000:
-                self.guesses.clear()
-            out = 0
-            for k in fitting(w, self.masks):
-                out |= self.masks[k]
-            self.guesses[w] = out
-        return self.guesses[w]
-
-    def candidates(self, page: list[str]) -> list[int]:
-        """Items of which the whole page has as many words in order as any case needs: no case is missed."""
-        if not self.ids:
-            return []
-        full = v = self.full
-        get = self.masks.get
-        for y in page:
-            if m := get(y) or (self.mask(y) if LOST in y else 0):
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        left = np.add.reduceat(np.bitwise_count(np.frombuffer(v.to_bytes(self.bytes, "little"), np.uint8)).astype(np.int64), self.starts)
-        return [self.ids[k] for k in np.flatnonzero(self.size - left >= self.need)]
-
-
-def fold_pages(lexicon: set[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pages as their words, and page counts of the lexicon's words (doc_id NULL, folded = word)."""
+def _hash(ws: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return pd.util.hash_array(np.array(ws, dtype=object), categorize=False) if ws else np.zeros(0, np.uint64)
 
+
+NUMBER, UNIT, NAME = (np.uint64(x) for x in _hash(["<number>", "<unit>", "<name>"]))
+
+
+def bitmap(df: DataFrame, column: str) -> Broadcast:
+    """Broadcast bitmap of the hashes of a column, BITS long, put together by an aggregate. Its false positives only cost time."""
+    at = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    words_ = df.groupBy(F.shiftright(at, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(({column} & 63L) AS INT))")).alias("b")).collect()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[[r.k for r in words_]] = [r.b for r in words_]
+    return df.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool))
+
+
+def canonical(ws: list[str], h: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Words as a template: numbers, units and names (words that are none of the plain ones) replaced by typed placeholders."""
+    out = np.where(plain[(h & np.uint64(BITS - 1)).astype(np.int64)], h, NAME)
+    out[[k for k, w in enumerate(ws) if w.isdigit()]] = NUMBER
+    out[np.isin(h, _hash(list(UNITS)))] = UNIT
+    return out
+
+
+def windows(t: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the first word, hash) of all windows of templates: two words in order, up to GAPS apart; two placeholders are none."""
+    slot = np.isin(t, (NUMBER, UNIT, NAME))
+    at, out = [], []
+    for g in range(1, GAPS + 1):
+        k = np.flatnonzero((owner[g:] == owner[:-g]) & ~(slot[g:] & slot[:-g]))
+        w = (t[k] * np.uint64(0x9E3779B97F4A7C15) + t[k + g]) * np.uint64(0xD6E8FEB86659FD93)
+        at.append(k)
+        out.append(w ^ (w >> np.uint64(32)))
+    return np.concatenate(at), np.concatenate(out)
+
+
+def _words_of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word; low: written without capital in this item."""
+    for b in batches:
+        rows: list[tuple] = []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if len(ws := words(text)) >= ANCHOR:
+                low = set(words(" ".join(x for x in text.split() if x[:1].islower())))
+                rows += [(i, k, w, w in low) for k, w in enumerate(ws)]
+        i, k, w, low = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(w, pa.string()), pa.array(_hash(list(w)).view(np.int64)), pa.array(low, pa.bool_())], names=["item_id", "k", "w", "h", "low"])
+
+
+def _windows_of_items(plain: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
-            texts = []
-            for text in b.column(1).to_pylist():
-                ws = words(text)
-                texts.append(" ".join(ws))
-                seen.update(lexicon.intersection(ws))
-            n, k = len(texts), len(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([b.column(0).cast(pa.int64()), pa.nulls(k, pa.int64())]), pa.array([*texts, *seen], pa.string()), pa.array([0] * n + list(seen.values()), pa.int64())],
-                names=["doc_id", "folded", "pages"],
-            )
+            lists = b.column(1).to_pylist()
+            ws = [w for x in lists for w in x]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            at, win = windows(canonical(ws, _hash(ws), plain.value), owner)
+            ids = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[at]]), pa.array(win.view(np.int64))], names=["item_id", "win"])
+
+    return run
+
+
+def _parts(ids: list[int], texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """About CHARS characters of whole pages at a time."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHARS:
+            yield ids[a : k + 1], texts[a : k + 1]
+            a, size = k + 1, 0
+    if a < len(texts):
+        yield ids[a:], texts[a:]
+
+
+def _pages(plain: Broadcast, wanted: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages as their words (kind 0), how many pages have a plain word (kind 1) and how often a wanted window stands in pages (kind 2)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, texts in _parts(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lists = [words(t) for t in texts]
+                ws = [w for x in lists for w in x]
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                h = _hash(ws)
+                known = plain.value[(h & np.uint64(BITS - 1)).astype(np.int64)]
+                _, one = np.unique(h[known] * np.uint64(0x9E3779B97F4A7C15) + owner[known].astype(np.uint64), return_index=True)  # a word once a page
+                word, n_word = np.unique(h[known][one], return_counts=True)
+                _, win = windows(canonical(ws, h, plain.value), owner)
+                win, n_win = np.unique(win[wanted.value[(win & np.uint64(BITS - 1)).astype(np.int64)]], return_counts=True)
+                n = len(ids), len(word), len(win)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.arange(3, dtype=np.int32), n)), pa.array(np.concatenate([np.array(ids, np.int64), word.view(np.int64), win.view(np.int64)])),
+                        pa.concat_arrays([pa.array([" ".join(x) for x in lists], pa.string()), pa.nulls(n[1] + n[2], pa.string())]), pa.array(np.concatenate([np.zeros(n[0], np.int64), n_word, n_win]).astype(np.int64)),
+                    ],
+                    names=["kind", "id", "folded", "n"],
+                )
+
+    return run
+
+
+def _hits(plain: Broadcast, rare: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, window) of the rare windows, once a page."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, texts in _parts(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lists = [t.split() for t in texts]
+                ws = [w for x in lists for w in x]
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                at, win = windows(canonical(ws, _hash(ws), plain.value), owner)
+                ok = rare.value[(win & np.uint64(BITS - 1)).astype(np.int64)]
+                doc, win = np.array(ids, np.int64)[owner[at[ok]]], win[ok]
+                o = np.lexsort((win, doc))
+                doc, win = doc[o], win[o]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (win[1:] != win[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(win[new].view(np.int64))], names=["doc_id", "win"])
 
     return run
 
@@ -152,12 +203,12 @@ def _runs(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def judge(item: list[str], page: list[str], rarity: Callable[[str], float], slots: set[int], least_share: float, sure: float) -> dict | None:
-    """Best passage of the page for the item: share of words in order, share of their rarity, longest run, bindings of slots; None if no case."""
+def judge(item: list[str], page: list[str], weight: list[float], slots: set[int], least_share: float, sure: float) -> dict | None:
+    """Best passage of the page for the item: share of words in order, share of their rarity (weight), longest run, bindings of slots; None
+    if no case."""
     m = len(item)
     own = set(item)
     page = [could_be(w, own) or w if LOST in w else w for w in page]
-    weight = [rarity(w) for w in item]
     total = max(sum(weight), 1e-9)
     room = m + m // 4 + 12
     run = _unbroken(item, page)
@@ -182,9 +233,12 @@ def judge(item: list[str], page: list[str], rarity: Callable[[str], float], slot
         for k in sorted(slots):
             if k in to:
                 bound.setdefault(item[k], set()).add(item[k])
-            elif to.get(k - 1, -9) + 2 == to.get(k + 1, -5):
-                bound.setdefault(item[k], set()).add(passage[to[k - 1] + 1])
-                moved.append(k)
+            else:  # the word between the neighbours, or at an end of the item the one beside its neighbour
+                j, after = to.get(k - 1, -9) + 1, to.get(k + 1, -9) - 1
+                j, after = (after if k == 0 else j), (j if k == m - 1 else after)
+                if 0 <= j == after and j < len(passage):
+                    bound.setdefault(item[k], set()).add(passage[j])
+                    moved.append(k)
         longest = max(run, *map(len, _runs(pairs)), 0) / m
         share = max(len(pairs), run) / m
         held = (len(pairs) + sum(1 for k in moved if len(bound[item[k]]) == 1)) / m
@@ -199,55 +253,71 @@ def judge(item: list[str], page: list[str], rarity: Callable[[str], float], slot
 
 def leaked_items(
     pages: DataFrame, items: DataFrame, page_id: str = "doc_id", page_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least_share: float = 0.5, sure: float = 0.6, block_items: int = 20_000,
+    least_share: float = 0.5, sure: float = 0.65, common: float = 0.005, enough: float = 0.25,
 ) -> DataFrame:
     """Pages that hold an item's wording, whole or at least half of its words in order in one passage.
 
     Both sides are folded (case, accents, punctuation, spacing, invisible and look-alike letters, doubly encoded bytes) and canonicalised:
-    numbers, units and names are slots. Every page is compared with every item by the exact length of their common subsequence, for all items
-    of a block at once in one bit string; pairs with half of the words (or few enough missing for the slots to make up) are aligned in the
-    best stretch of 1.25 items, or over the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
+    numbers, units and names are typed placeholders, a name being a word of one item that no item writes without a capital. Template
+    windows are two words in order, at most three apart, so that single words in between may differ or be missing. Windows of the items
+    are a table, joined with the windows of the pages by hash; pages send only windows that a bitmap of fixed size may hold. Windows
+    that stand in pages more often than `common` times their number (20 times at least) are phrases everybody uses and don't make a pair;
+    an item that has, without them, fewer than `enough` x its words keeps all of its windows. A page that shares two windows with
+    an item (one with an item of under twelve words) is aligned with it: in the best stretch of 1.25 items, or over the whole page by parts of
+    four unbroken words, where a foreign line of any length may lie between.
     A case has at least `least_share` of the item's words in order. Phrases that pages of a language share reach that by chance, so one of
-    these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the words' rarity (inverse page frequency over all
-    pages), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew, each always alike, is a case from
-    0.85 of the words with the slots.
+    these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the rarity of its words (inverse page
+    frequency over all pages; a slot counts as the rarest plain word), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew is a case from 0.85 of
+    the words, a slot counting only if it is filled alike wherever the item repeats it.
 
-    Items are taken in blocks of at most block_items, each matched with all pages: what is broadcast is bounded by the block, the time of a
-    page is in proportion to the items' words. Items of fewer than four words are never found. NULL ids or texts match nothing; repeated pages are rows of their own,
+    Items of fewer than four words are never found. NULL ids or texts match nothing; repeated pages are rows of their own,
     repeated item ids are one item (the larger text); empty tables give an empty result; other columns are ignored.
     Result: item_id, doc_id, share, rarity, run DOUBLE, rebound INT (slots filled anew), steady BOOLEAN (each slot always filled alike).
     """
     docs = pages.select(F.col(page_id).cast("bigint").alias("doc_id"), F.col(page_text).alias("text")).dropna()
     held = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).dropna().groupBy("item_id").agg(F.max("text").alias("text"))
-    total = docs.count()
-    blocks = max(1, -(-held.count() // block_items))
-    out = None
-    for k in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else held
-        found = _block(docs, Templates([(r.item_id, r.text) for r in part.collect()], least_share), total, least_share, sure)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _block(docs: DataFrame, t: Templates, total: int, least_share: float, sure: float) -> DataFrame:
-    folded = materialise(docs.mapInArrow(fold_pages(t.lexicon), "doc_id BIGINT, folded STRING, pages BIGINT"), "folded")
-    # word counts are bounded by the lexicon of the block
-    counts = {r.folded: r.n for r in folded.where("doc_id IS NULL").groupBy("folded").agg(F.sum("pages").alias("n")).collect()}
-    top = math.log(total + 2)
-    rare = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for w in t.lexicon}
+    each = materialise(held.mapInArrow(_words_of_items, "item_id BIGINT, k INT, w STRING, h BIGINT, low BOOLEAN"), "item_words")
+    lexicon = each.where(~F.col("w").rlike("^[0-9]+$") & ~F.col("w").isin(*UNITS)).groupBy("w", "h").agg(F.max("low").alias("low"), F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("low OR a < b").select("w", "h")
+    lexicon = materialise(lexicon, "lexicon")
+    plain = bitmap(lexicon, "h")
+    ordered = lambda *c: F.array_sort(F.collect_list(F.struct("k", *c)))
+    texts = each.groupBy("item_id").agg(ordered("w").alias("x")).select("item_id", F.transform("x", lambda x: x["w"]).alias("w"))
+    wins = materialise(texts.mapInArrow(_windows_of_items(plain), "item_id BIGINT, win BIGINT").distinct(), "item_windows")
+    folded = materialise(docs.mapInArrow(_pages(plain, bitmap(wins, "win")), "kind INT, id BIGINT, folded STRING, n BIGINT"), "folded")
+    page = folded.where("kind = 0").select(F.col("id").alias("doc_id"), "folded")
+    total = page.count()
+    count = lambda kind: folded.where(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n"))
+    # rarity of the words of the items; slots count as the item's rarest plain word
+    rare = F.when(F.col("plain"), F.log((F.lit(total) + 2) / (F.coalesce("n", F.lit(0)) + 1)))
+    known = lexicon.join(count(1).withColumnRenamed("id", "h"), "h", "left").select("w", "n", F.lit(True).alias("plain"))
+    item = each.join(known, "w", "left").withColumns({"plain": F.coalesce("plain", F.lit(False)), "weight": rare})
+    item = item.withColumn("weight", F.coalesce("weight", F.max("weight").over(Window.partitionBy("item_id")), F.lit(1.0)))
+    item = materialise(item.groupBy("item_id").agg(ordered("w", "weight", "plain").alias("x"), F.count("*").alias("m")), "items")
+    # which windows make pairs
+    seen = wins.join(count(2).withColumnRenamed("id", "win"), "win", "left").join(item.select("item_id", "m"), "item_id")
+    seen = seen.withColumn("few", F.coalesce("n", F.lit(0)) <= max(20.0, common * total))
+    left = seen.groupBy("item_id").agg(F.sum(F.col("few").cast("int")).alias("n_few"))
+    kept = seen.join(left, "item_id").where(F.col("n").isNotNull() & (F.col("few") | (F.col("n_few") < enough * F.col("m")))).select("item_id", "win", F.when(F.col("m") < 12, 1).otherwise(2).alias("need"))
+    kept = materialise(kept, "kept")
+    hits = page.mapInArrow(_hits(plain, bitmap(kept, "win")), "doc_id BIGINT, win BIGINT")
+    pairs = hits.join(kept, "win").groupBy("item_id", "doc_id").agg(F.count_distinct("win").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "doc_id")
+    pairs = materialise(pairs.join(broadcast_if_small(item, 2_000), "item_id").select("doc_id", "item_id", "x"), "pairs")
+    found = pairs.join(page, "doc_id").select("item_id", "doc_id", "folded", "x")
+    return found.mapInArrow(_verified(least_share, sure), "item_id BIGINT, doc_id BIGINT, share DOUBLE, rarity DOUBLE, run DOUBLE, rebound INT, steady BOOLEAN").dropDuplicates(["item_id", "doc_id"])
+
+
+def _verified(least_share: float, sure: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ("item_id", "doc_id", "share", "rarity", "run", "rebound", "steady")
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, text in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
-                page = text.split()
-                for i in t.candidates(page):
-                    if v := judge(t.words[i], page, lambda w: rare.get(w, top), t.slots[i], least_share, sure):
-                        rows.append((i, doc, *(v[x] for x in names[2:])))
+            for i, doc, text, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                slots = {y["k"] for y in x if not y["plain"]}
+                if v := judge([y["w"] for y in x], text.split(), [y["weight"] for y in x], slots, least_share, sure):
+                    rows.append((i, doc, *(v[y] for y in names[2:])))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types, strict=True)], names=list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(y, z) for y, z in zip(cols, types, strict=True)], names=list(names))
 
-    schema = "item_id BIGINT, doc_id BIGINT, share DOUBLE, rarity DOUBLE, run DOUBLE, rebound INT, steady BOOLEAN"
-    return folded.where("doc_id IS NOT NULL").select("doc_id", "folded").mapInArrow(verify, schema).dropDuplicates(["item_id", "doc_id"])
+    return run
