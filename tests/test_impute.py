@@ -62,3 +62,16 @@ def test_one_faulty_reading_does_not_blur_the_donors(spark):
     got = run(spark, data)
     assert got.keys() == want.keys() and all(abs(got[r].fill - y) < 0.051 for r, y in want.items())
     assert len({g.donor_rid for g in got.values()}) >= 35
+
+
+def test_neighbours_across_the_ends_of_blocks(spark):
+    """The reading one period earlier lies in the block before; the entity's level tells it from the others."""
+    data, want = [], {}
+    for e in range(30):
+        for k in (22, 23, 24):
+            rid = len(data)
+            if k == 24:
+                want[rid] = 50.0 + e
+            data.append((rid, e, 1, k * 60.0, 60.0, None if k == 24 else 50.0 + e))
+    got = run(spark, data)
+    assert got.keys() == want.keys() and all(abs(got[r].fill - y) <= 1.0 for r, y in want.items())

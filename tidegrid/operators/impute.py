@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.linear import predict3, ridge3
 from ..session import materialise, width
+from .closest import marks_around
 
 
-def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_periods: int = 24) -> DataFrame:
+def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_periods: int = 24, reach_blocks: int = 16) -> DataFrame:
     """Every missing y filled with the observed y of a donor of the same group whose prediction lies nearest.
 
     rows: rid (unique), entity, grp, t (seconds), period (usual seconds between readings of the group), y DOUBLE (NULL: missing).
-    Predictors of a reading: the observed reading before it, the one after it and the mean of the others, all of its entity and group in
-    the same block of time (block_periods periods), never itself. One ridge regression per group on all observed rows; rows without
-    any predictor, as those without entity, take the group's mean.
+    Predictors of a reading: the observed reading before it, the one after it (up to reach_blocks blocks of block_periods periods away, whether
+    or not a block ends between) and the mean of the others in its block, else of those two; all of its entity and group, never itself.
+    One ridge regression per group on all observed rows; rows without any predictor, as those without entity, take the group's mean.
     Donors are searched by their own predictions: distinct predictions of a group are cut by ranges into as many pieces as a shuffle has
     partitions, each wanted prediction finds the nearest ones below and above that hold donors, within its piece or at the borders of the
     other pieces; the nearer one gives, of equal ones the lower. Donors of exactly the same prediction are equally near: up to `draws` of
@@ -28,10 +29,10 @@ def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_pe
     lone = F.col("entity").isNull() | F.col("t").isNull() | F.col("period").isNull()
     base = rows.select("rid", "grp", F.when(~lone, F.col("entity")).alias("e"), F.when(lone, F.col("rid")).otherwise(block).alias("b"), "t", "y")
     part = Window.partitionBy("e", "grp", "b")
-    past = part.orderBy("t", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    later = part.orderBy(F.desc("t"), F.desc("rid")).rowsBetween(Window.unboundedPreceding, -1)
     others = F.try_divide(F.sum("y").over(part) - F.coalesce("y", F.lit(0.0)), F.count("y").over(part) - F.col("y").isNotNull().cast("int"))
-    w = base.select("rid", "grp", "y", F.last("y", True).over(past).alias("p"), F.last("y", True).over(later).alias("q"), others.alias("m"))
+    marked = base.withColumn("s", F.when(F.col("y").isNotNull(), F.struct("t", "rid", "y"))).withColumn("o", others)
+    w = marks_around(marked, ["e", "grp"], "b", ["t", "rid"], "s", reach_blocks).select("rid", "grp", "y", F.col("before.y").alias("p"), F.col("after.y").alias("q"), "o")
+    w = w.withColumn("m", F.coalesce("o", (F.col("p") + F.col("q")) / 2, "p", "q"))
     known = materialise(w.select("rid", "grp", "y", F.coalesce("p", "q", "m").alias("x0"), F.coalesce("q", "p", "m").alias("x1"), F.col("m").alias("x2")), "predictors")
     seen = known.where("y IS NOT NULL")
     model = ridge3(seen.where("x2 IS NOT NULL"), ["grp"], ("x0", "x1", "x2"), "y", ridge).drop("n", "a")
