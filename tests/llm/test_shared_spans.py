@@ -47,6 +47,18 @@ def test_against_brute_force(spark, hot):
     assert all(r.longest <= r.shared_chars and (r.n_spans > 0) == (r.shared_chars > 0) for r in got.values())
 
 
+def test_notice_on_a_tenth_of_the_pages(spark, monkeypatch):
+    """A hot minimiser, its joins salted instead of broadcast: the same result as by plain buckets."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    notice = text(120)
+    docs = [(k, text(150) + (notice if k % 10 == 0 else "") + text(50)) for k in range(200)]
+    plain = {i: (r.shared_chars, r.n_spans, r.longest) for i, r in run(spark, docs, least=60).items()}
+    monkeypatch.setattr(module, "broadcast_if_small", lambda df, n: df)
+    assert {i: (r.shared_chars, r.n_spans, r.longest) for i, r in run(spark, docs, least=60, hot=5).items()} == plain
+    assert all((c >= 120) == (i % 10 == 0) for i, (c, _, _) in plain.items())
+
+
 def test_edges(spark):
     rng = random.Random(3)
     t = "".join(rng.choice("abcdefgh") for _ in range(400))

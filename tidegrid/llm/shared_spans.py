@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spikes import whole_groups
-from ..session import materialise, width
+from ..functions.arrow import whole_groups
+from ..session import broadcast_if_small, materialise, width
 
 PIECE = 1_000_000  # code points worked on at a time
 LONGEST = 1024  # windows in one packed string
+SALTS = 16  # parts of a key that may be in many pages
 
 
 def _hash(cp: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -181,8 +182,8 @@ def shared_spans(pages: DataFrame, page_id: str = "doc_id", page_text: str = "te
     Windows of `least` code points; consecutive windows with the same minimiser (of m, by default half of `least`) form one run. Runs
     whose minimiser only one page has are dropped first, by a join of numbers alone: windows of equal text have equal minimisers. The
     other runs travel as packed strings to the bucket of their minimiser, where sorting finds the windows of more than one page. A
-    minimiser of more than `hot` runs is no bucket of its own: its windows are counted by a mergeable aggregate and joined back, so no task
-    holds them all. Windows are compared by 128 bits of hash. Of exact copies one page stands for all. No pairs of pages are formed.
+    minimiser of more than `hot` runs is no bucket of its own: its windows are counted by a mergeable aggregate and joined back, the list of
+    shared ones broadcast if counted small, else salted by page, so no task holds them all. Windows are compared by 128 bits of hash. Of exact copies one page stands for all. No pairs of pages are formed.
 
     One row per page: doc_id, n_chars, shared_chars (characters inside shared stretches), n_spans, longest (of the stretches), share.
     NULL text counts as empty; pages shorter than `least` share nothing; NULL ids are left out; ids name pages (repeated rows are one
@@ -198,17 +199,24 @@ def shared_spans(pages: DataFrame, page_id: str = "doc_id", page_text: str = "te
     runs = materialise(found.join(twin.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "runs")
     several = materialise(runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("mini", (F.col("rows") > hot).alias("hot")), "minimisers")
 
-    def packed(which: bool) -> DataFrame:
-        mine = runs.join(several.where(F.col("hot") == which), "mini").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "mini")).alias("runs"))
-        return long_docs.join(mine, "doc_id").select("doc_id", "text", "runs")
+    def among(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows whose keys are in a list of distinct ones: broadcast if counted small, else each key spread over SALTS tasks by page."""
+        if (small := broadcast_if_small(few, 20_000)) is not few:
+            return rows.join(small, keys, "left_semi")
+        salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left_semi").drop("salt")
+
+    def packed(mine: DataFrame) -> DataFrame:
+        return long_docs.join(mine.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "mini")).alias("runs")), "doc_id").select("doc_id", "text", "runs")
 
     schema = "doc_id BIGINT, a INT, b INT"
-    strings = packed(False).mapInArrow(_packed(least), "doc_id BIGINT, at INT, mini BIGINT, packed STRING")
+    strings = packed(runs.join(several.where("NOT hot").select("mini"), "mini", "left_semi")).mapInArrow(_packed(least), "doc_id BIGINT, at INT, mini BIGINT, packed STRING")
     spans = strings.repartition(width(docs.sparkSession), "mini").sortWithinPartitions("mini").mapInArrow(_count(least), schema)
-    if not several.where("hot").isEmpty():
-        each = packed(True).mapInArrow(_hot_windows(least), "doc_id BIGINT, a INT, h1 BIGINT, h2 BIGINT")
-        twice = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2")
-        spans = spans.unionByName(each.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "a", (F.col("a") + least).alias("b")))
+    hot_ones = several.where("hot").select("mini")
+    if not hot_ones.isEmpty():
+        each = materialise(packed(among(runs, hot_ones, ["mini"])).mapInArrow(_hot_windows(least), "doc_id BIGINT, a INT, h1 BIGINT, h2 BIGINT"), "hot_windows")
+        twice = materialise(each.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2"), "twice")
+        spans = spans.unionByName(among(each, twice, ["h1", "h2"]).select("doc_id", "a", (F.col("a") + least).alias("b")))
     fold = F.aggregate(
         F.array_sort(F.collect_list(F.struct("a", "b"))),
         F.struct(F.lit(0).alias("total"), F.lit(-1).alias("reach"), F.lit(0).alias("spans"), F.lit(0).alias("from"), F.lit(0).alias("longest")),
