@@ -253,7 +253,7 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
 
 def leaked_items(
     pages: DataFrame, items: DataFrame, page_id: str = "doc_id", page_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least_share: float = 0.5, sure: float = 0.65, common: float = 0.005, enough: float = 0.25,
+    least_share: float = 0.5, sure: float = 0.65, common: float = 0.005, enough: float = 0.5, share_m: float = 0.15,
 ) -> DataFrame:
     """Pages that hold an item's wording, whole or at least half of its words in order in one passage.
 
@@ -261,10 +261,11 @@ def leaked_items(
     numbers, units and names are typed placeholders, a name being a word of one item that no item writes without a capital. Template
     windows are two words in order, at most three apart, so that single words in between may differ or be missing. Windows of the items
     are a table, joined with the windows of the pages by hash; pages send only windows that a bitmap of fixed size may hold. Windows
-    that stand in pages more often than `common` times their number (20 times at least) are phrases everybody uses and don't make a pair;
-    an item that has, without them, fewer than `enough` x its words keeps all of its windows. A page that shares two windows with
-    an item (one with an item of under twelve words) is aligned with it: in the best stretch of 1.25 items, or over the whole page by parts of
-    four unbroken words, where a foreign line of any length may lie between.
+    that stand in pages more often than `common` times their number (20 times at least) are phrases everybody uses and don't make a pair,
+    but an item keeps its rarest windows, `enough` x its words, however common they are. Half of an item's words in order leave at least
+    m / 3 - 1 windows whole, m being its words, if the page adds none in between; rare ones are a part of them. A page that shares share_m x the
+    item's words (of an item with few windows an eighth of those, at least one) is aligned with it: in the best stretch of 1.25 items, or over
+    the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
     A case has at least `least_share` of the item's words in order. Phrases that pages of a language share reach that by chance, so one of
     these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the rarity of its words (inverse page
     frequency over all pages; a slot counts as the rarest plain word), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew is a case from 0.85 of
@@ -295,14 +296,15 @@ def leaked_items(
     item = materialise(item.groupBy("item_id").agg(ordered("w", "weight", "plain").alias("x"), F.count("*").alias("m")), "items")
     # which windows make pairs
     seen = wins.join(count(2).withColumnRenamed("id", "win"), "win", "left").join(item.select("item_id", "m"), "item_id")
-    seen = seen.withColumn("few", F.coalesce("n", F.lit(0)) <= max(20.0, common * total))
-    left = seen.groupBy("item_id").agg(F.sum(F.col("few").cast("int")).alias("n_few"))
-    kept = seen.join(left, "item_id").where(F.col("n").isNotNull() & (F.col("few") | (F.col("n_few") < enough * F.col("m")))).select("item_id", "win", F.when(F.col("m") < 12, 1).otherwise(2).alias("need"))
-    kept = materialise(kept, "kept")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "win"))
+    few = (F.coalesce("n", F.lit(0)) <= max(20.0, common * total)) | (F.col("rank") <= enough * F.col("m"))
+    kept = seen.withColumn("rank", rank).where(few).withColumn("of", F.count("*").over(Window.partitionBy("item_id")))
+    need = F.greatest(F.lit(1.0), F.least(F.ceil(F.col("m") * share_m), F.floor(F.col("of") / 8)))
+    kept = materialise(kept.where("n IS NOT NULL").select("item_id", "win", need.alias("need")), "kept")
     hits = page.mapInArrow(_hits(plain, bitmap(kept, "win")), "doc_id BIGINT, win BIGINT")
     pairs = hits.join(kept, "win").groupBy("item_id", "doc_id").agg(F.count_distinct("win").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "doc_id")
-    pairs = materialise(pairs.join(broadcast_if_small(item, 2_000), "item_id").select("doc_id", "item_id", "x"), "pairs")
-    found = pairs.join(page, "doc_id").select("item_id", "doc_id", "folded", "x")
+    per_page = pairs.join(broadcast_if_small(item, 2_000), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "x")).alias("c"))
+    found = materialise(per_page, "candidates").join(page, "doc_id").select("doc_id", "folded", "c")
     return found.mapInArrow(_verified(least_share, sure), "item_id BIGINT, doc_id BIGINT, share DOUBLE, rarity DOUBLE, run DOUBLE, rebound INT, steady BOOLEAN").dropDuplicates(["item_id", "doc_id"])
 
 
@@ -313,10 +315,13 @@ def _verified(least_share: float, sure: float) -> Callable[[Iterable[pa.RecordBa
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, doc, text, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                slots = {y["k"] for y in x if not y["plain"]}
-                if v := judge([y["w"] for y in x], text.split(), [y["weight"] for y in x], slots, least_share, sure):
-                    rows.append((i, doc, *(v[y] for y in names[2:])))
+            for doc, text, items in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                page = text.split()
+                for c in items:
+                    x = c["x"]
+                    slots = {y["k"] for y in x if not y["plain"]}
+                    if v := judge([y["w"] for y in x], page, [y["weight"] for y in x], slots, least_share, sure):
+                        rows.append((c["item_id"], doc, *(v[y] for y in names[2:])))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(y, z) for y, z in zip(cols, types, strict=True)], names=list(names))
 
