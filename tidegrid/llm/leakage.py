@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -147,17 +148,13 @@ def _hits(plain: Broadcast, rare: Broadcast) -> Callable[[Iterable[pa.RecordBatc
     return run
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bits."""
-    mask: dict[str, int] = {}
-    for k, x in enumerate(a):
-        mask[x] = mask.get(x, 0) | 1 << k
-    full = v = (1 << len(a)) - 1
-    for y in b:
-        if m := mask.get(y):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+def _common(masks: list[int], m: int) -> int:
+    """Length of the longest common subsequence of an item of m words and a page given by the places of its words in the item, by bits."""
+    full = v = (1 << m) - 1
+    for x in masks:
+        u = v & x
+        v = ((v + u) | (v - u)) & full
+    return m - v.bit_count()
 
 
 def _aligned(a: list[str], b: list[str], weight: list[float]) -> list[tuple[int, int]]:
@@ -180,16 +177,13 @@ def _aligned(a: list[str], b: list[str], weight: list[float]) -> list[tuple[int,
     return out[::-1]
 
 
-def _unbroken(a: list[str], b: list[str]) -> int:
-    """Length of the longest stretch of a that stands unbroken in b, by bits."""
-    mask: dict[str, int] = {}
-    for k, x in enumerate(a):
-        mask[x] = mask.get(x, 0) | 1 << k
-    ends = [mask.get(y, 0) for y in b]
-    longest = 0
-    while any(ends):
-        longest += 1
-        ends = [(x << 1) & mask.get(y, 0) if x else 0 for x, y in zip(ends, b[longest:], strict=False)]
+def _unbroken(places: dict[str, list[int]], page: list[str]) -> int:
+    """Length of the longest stretch of the item that stands unbroken in the page."""
+    longest, before = 0, {}
+    for w in page:
+        before = {k: before.get(k - 1, 0) + 1 for k in places.get(w, ())}
+        if before:
+            longest = max(longest, *before.values())
     return longest
 
 
@@ -207,20 +201,31 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
     """Best passage of the page for the item: share of words in order, share of their rarity (weight), longest run, bindings of slots; None
     if no case."""
     m = len(item)
-    own = set(item)
-    page = [could_be(w, own) or w if LOST in w else w for w in page]
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(item):
+        places.setdefault(w, []).append(k)
+    page = [could_be(w, places) or w if LOST in w else w for w in page]
     total = max(sum(weight), 1e-9)
     room = m + m // 4 + 12
-    run = _unbroken(item, page)
-    here = own.intersection(page)
+    bits = {w: sum(1 << k for k in ks) for w, ks in places.items()}
+    at = [k for k, w in enumerate(page) if w in bits]
+    masks = [bits[page[k]] for k in at]
+    run = _unbroken(places, page)
+    # the least words in order of any case: the share asked for, or so many that all slots filled anew make up for the rest
+    least = max(1, min(math.ceil(least_share * m - 1e-9), math.ceil(HELD * m - 1e-9) - len(slots)))
+    here = {page[k] for k in at}
     most = sum(x for x, w in zip(weight, item, strict=True) if w in here) / total
     enough = min(math.ceil(PLAIN * m - 1e-9), math.ceil(HELD * m - 1e-9) - len(slots))
-    if 2 * run < m and most < min(least_share, sure) and _common(item, page) < enough:
+    if 2 * run < m and ((c := _common(masks, m)) < least or (most < min(least_share, sure) and c < enough)):
         return None
     step = max(1, m // 4)
+    # stretches with more of the item's words first: none with fewer than the best has in order can be better
+    cuts = [(lo, bisect_left(at, lo), bisect_left(at, lo + room + step)) for lo in range(0, max(1, len(page) - room + step), step)]
     best, where = 0, 0
-    for lo in range(0, max(1, len(page) - room + step), step):
-        if (c := _common(item, page[lo : lo + room + step])) > best:
+    for lo, f, t in sorted(cuts, key=lambda x: x[1] - x[2]):
+        if t - f <= best:
+            break
+        if (c := _common(masks[f:t], m)) > best:
             best, where = c, lo
 
     def result(passage: list[str], anchored: bool) -> dict | None:
@@ -247,7 +252,7 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
         case = held >= HELD or (share >= least_share and (unbroken or share >= PLAIN or rare >= sure or (rare >= least_share and longest >= 0.4)))
         return {"share": max(share, held), "rarity": rare, "run": longest, "rebound": len(moved), "steady": all(len(v) == 1 for v in bound.values())} if case else None
 
-    out = result(page[where : where + room + step], False) if best else None
+    out = result(page[where : where + room + step], False) if best >= least or 2 * run >= m else None
     return out or (result(page, True) if run >= ANCHOR and len(page) > room + step else None)
 
 
@@ -264,7 +269,7 @@ def leaked_items(
     that stand in pages more often than `common` times their number (20 times at least) are phrases everybody uses and don't make a pair,
     but an item keeps its rarest windows, `enough` x its words, however common they are. Half of an item's words in order leave at least
     m / 3 - 1 windows whole, m being its words, if the page adds none in between; rare ones are a part of them. A page that shares share_m x the
-    item's words (of an item with few windows an eighth of those, at least one) is aligned with it: in the best stretch of 1.25 items, or over
+    item's words (of an item with few rare windows a sixth of those) is aligned with it: in the best stretch of 1.25 items, or over
     the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
     A case has at least `least_share` of the item's words in order. Phrases that pages of a language share reach that by chance, so one of
     these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the rarity of its words (inverse page
@@ -299,7 +304,7 @@ def leaked_items(
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "win"))
     few = (F.coalesce("n", F.lit(0)) <= max(20.0, common * total)) | (F.col("rank") <= enough * F.col("m"))
     kept = seen.withColumn("rank", rank).where(few).withColumn("of", F.count("*").over(Window.partitionBy("item_id")))
-    need = F.greatest(F.lit(1.0), F.least(F.ceil(F.col("m") * share_m), F.floor(F.col("of") / 8)))
+    need = F.greatest(F.lit(1.0), F.least(F.ceil(F.col("m") * share_m), F.ceil(F.col("of") / 6)))
     kept = materialise(kept.where("n IS NOT NULL").select("item_id", "win", need.alias("need")), "kept")
     hits = page.mapInArrow(_hits(plain, bitmap(kept, "win")), "doc_id BIGINT, win BIGINT")
     pairs = hits.join(kept, "win").groupBy("item_id", "doc_id").agg(F.count_distinct("win").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "doc_id")
