@@ -78,10 +78,45 @@ def test_visits_and_keys(spark):
     rec = spark.createDataFrame([(1, 1, 30 * H), (2, 1, 200 * H), (3, 2, 1000 * H), (4, 9, 0.0)], "r BIGINT, s BIGINT, t DOUBLE")
     assert {x.r: x.k for x in cohort.resolve_keys(rec, iv, "r", "s", "t", "k", "a", "z", "o", 48 * H).collect()} == {1: "S2", 2: None, 3: "S3", 4: None}
     codes = spark.createDataFrame([(1, "I219"), (1, "E10"), (2, None)], "h BIGINT, c STRING")
-    got = cohort.prefix_flags(codes, "h", "c", {"mi": [(3, "I21", "I22")], "dm": [(3, "E10", "E10")]}, spark.createDataFrame([(1,), (2,), (3,)], "h BIGINT"))
+    got = cohort.prefix_flags(codes, "h", "c", {"mi": [(None, 3, "I21", "I22")], "dm": [(None, 3, "E10", "E10")]}, spark.createDataFrame([(1,), (2,), (3,)], "h BIGINT"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
 
 
+def test_rules_of_two_code_systems(spark):
+    codes = spark.createDataFrame([(1, "410", 9), (2, "410", 10), (3, "I21", 10), (4, "I21", None), (5, None, 9)], "h BIGINT, c STRING, v INT")
+    rules = {"mi": [("9", 3, "410", "410"), ("10", 3, "I21", "I22")], "any": [(None, 1, "I", "I")]}
+    got = cohort.prefix_flags(codes, "h", "c", rules, codes, "v")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 0, 1), (5, 0, 0)]
+
+
+def test_notes_fan_out(spark):
+    rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 1, "x")], "stay BIGINT, step INT, note STRING")
+    stays = spark.createDataFrame([(1, 10, 100), (1, 10, 100), (2, 20, 200), (3, 30, 300)], "stay BIGINT, s BIGINT, h BIGINT")
+    notes = spark.createDataFrame([(10, 100, "a"), (10, 100, "b"), (10, 100, "b"), (10, 999, "c"), (30, 300, "d"), (None, 100, "e"), (20, 200, None)], "s BIGINT, h BIGINT, note STRING")
+    got = cohort.attach_notes(rows, stays, notes, "stay", ["s", "h"], "note")
+    assert sorted((r.stay, r.step, r.note or "") for r in got.collect()) == [(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (1, 2, "b"), (2, 1, "")]
+
+
+def test_early_exclusion(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 1), (1, 2, 50.0, 0), (2, 1, 0.0, 1), (2, 2, 500.0, 1), (3, 1, 0.0, 0), (4, 1, 0.0, None)], "s BIGINT, k INT, t DOUBLE, x INT")
+    assert {r.s for r in cohort.exclude_early(df, "s", "k", "t", F.col("x") == 1, 100.0).collect()} == {2, 3, 4}
+
+
+def test_exact_median_and_running_totals(spark):
+    for values_ in ([3.0], [1.0, 2.0], [5.0, 1.0, 1.0, None, float("nan")], [float(k % 7) for k in range(101)], []):
+        df = spark.createDataFrame([(v,) for v in values_], "x DOUBLE")
+        known = sorted(v for v in values_ if v is not None and v == v)
+        want = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2 if known else None
+        assert evaluate.exact_median(df, "x").first().median == want
+    per = spark.createDataFrame([(k, k * k) for k in range(50)], "k INT, n INT")
+    assert {r.k: r.r_n for r in evaluate.running_totals(per, "k", ["n"], descending=True).collect()} == {k: sum(j * j for j in range(k, 50)) for k in range(50)}
+
+
+def test_distinct_times_of_streams(spark):
+    a, b = spark.createDataFrame([(1, 5.0), (1, 5.0), (None, 1.0)], "s BIGINT, t DOUBLE"), spark.createDataFrame([(1, 5), (2, 7), (2, None)], "s BIGINT, u BIGINT")
+    assert sorted(tuple(r) for r in grid.distinct_times("s", (a, "t"), (b, "u")).collect()) == [(1, 5.0), (2, 7.0)]
+
+
 def test_exclusions_and_missing(spark):
     df = spark.createDataFrame([(1, 5.0, None), (1, 20.0, 1.0), (2, 5.0, None), (3, 1.0, 2.0)], "s BIGINT, x DOUBLE, y DOUBLE")
     kept = cohort.require_any(cohort.exclude_any(df, "s", F.col("x") > 10), "s", F.col("x") > 2)

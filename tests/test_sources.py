@@ -21,6 +21,28 @@ def test_concepts_documents_results(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "r"), header=True).count() == 2
 
 
+def test_concepts_without_hold_time(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"hr": {"codes": [7]}, "none": {"codes": []}}, indent=1))
+    assert [tuple(r) for r in tables.read_concepts(spark, str(tmp_path / "c.json")).collect()] == [(7, "hr", None, None, None)]
+
+
+def test_ordered_sink(spark, tmp_path):
+    df = spark.range(500).selectExpr("(id * 37) % 500 AS k", "CAST(id AS STRING) AS s")
+    sinks.write_delimited(df, str(tmp_path / "o"), order=["k"])
+    files = sorted((tmp_path / "o").glob("part-*"))
+    keys = [int(line.split("|")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+    assert keys == list(range(500))
+
+
+def test_bucketed_sink_and_views(spark, tmp_path):
+    sinks.write_bucketed(spark.range(100).selectExpr("id % 7 AS e", "id"), "traj_sink", str(tmp_path / "b"), "e", 4)
+    plan = spark.table("traj_sink").groupBy("e").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and spark.table("traj_sink").count() == 100
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    tables.register(spark, str(tmp_path), ["t"])
+    assert spark.sql("SELECT count(*) AS n FROM t").first().n == 3
+
+
 def test_nan_is_null(spark):
     df = tables.nan_to_null(spark.createDataFrame([(float("nan"), "a"), (1.0, "b")], "x DOUBLE, s STRING"))
     assert df.where(F.col("x").isNull()).count() == 1

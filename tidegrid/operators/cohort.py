@@ -40,20 +40,40 @@ def resolve_keys(records: DataFrame, intervals: DataFrame, rec: str, link: str,
     return records.select(rec, link, time).join(iv, link, "left").groupBy(rec).agg(F.max_by(F.when(hit, F.col("_k")), F.when(hit, F.col("_o"))).alias(key))
 
 
-def prefix_flags(codes: DataFrame, entity: str, code: str, rules: dict[str, Sequence[tuple[int, str, str]]], entities: DataFrame) -> DataFrame:
+def prefix_flags(codes: DataFrame, entity: str, code: str, rules: dict[str, Sequence[tuple[str | None, int, str, str]]], entities: DataFrame, version: str | None = None) -> DataFrame:
     """One 0/1 column per rule: does the entity have a code whose first k characters lie between lo and hi?
 
-    rules: name -> (k, lo, hi) triples, lo = hi for one prefix. Entities without codes get 0."""
+    rules: name -> (version, k, lo, hi); lo = hi for one prefix. The same code may mean different things in two code systems: a rule counts
+    only for rows whose `version` column equals its version (None: for all rows). Codes split so into one column per version, which the
+    rules of that version read. Entities without codes get 0; NULL codes and versions match no rule of a version."""
+    named = sorted({v for triples in rules.values() for v, *_ in triples if v is not None})
+    split = {v: F.when(F.col(version) == v, F.col(code)) for v in named} | {None: F.col(code)}
     flags = []
     for name, triples in rules.items():
         hit = F.lit(False)
-        for k, lo, hi in triples:
-            hit |= F.substring(code, 1, k).between(lo, hi)
+        for v, k, lo, hi in triples:
+            hit |= F.substring(split[v], 1, k).between(lo, hi)
         flags.append(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias(name))
     found = codes.groupBy(entity).agg(*flags)
     return entities.select(entity).distinct().join(found, entity, "left").fillna(0, list(rules))
 
 
+def attach_notes(rows: DataFrame, stays: DataFrame, notes: DataFrame, entity: str, link: Sequence[str], note: str) -> DataFrame:
+    """Rows with the ids of the notes of their entity: one row per note (fan-out), one with NULL where there is none.
+
+    notes belong to stays by the link columns; only those of stays that occur in `rows` take part, which a semi-join settles first. NULL
+    links match nothing; repeated stays or notes count once. A clashing column `note` of rows is replaced."""
+    here = stays.select(entity, *link).distinct().join(rows.select(entity).distinct(), entity, "left_semi")
+    kept = notes.select(*link, note).where(F.col(note).isNotNull()).distinct().join(here, list(link)).select(entity, note).distinct()
+    return rows.drop(note).join(kept, entity, "left")
+
+
+def exclude_early(df: DataFrame, entity: str, order: str, time: str, cond: Column, span_s: float) -> DataFrame:
+    """Drop entities whose first row (in `order`) meets the condition and whose rows span at most span_s seconds. An unknown condition is not met."""
+    first = df.groupBy(entity).agg(F.min_by(F.coalesce(cond, F.lit(False)), order).alias("_c"), (F.max(time) - F.min(time)).alias("_d"))
+    return df.join(first.where(F.col("_c") & (F.col("_d") <= span_s)).select(entity), entity, "left_anti")
+
+
 def exclude_any(df: DataFrame, entity: str, cond: Column) -> DataFrame:
     """Drop all rows of entities of which any row meets the condition."""
     return df.join(df.where(cond).select(entity).distinct(), entity, "left_anti")
@@ -65,9 +85,9 @@ def require_any(df: DataFrame, entity: str, cond: Column) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Share of NULL per column: (column_name, missing)."""
+    """Share of NULL per column (column_name, missing), the largest first."""
     one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "column_name", "missing")
+    return one.unpivot([], list(columns), "column_name", "missing").orderBy(F.desc("missing"), "column_name")
 
 
 def drop_sparse(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:

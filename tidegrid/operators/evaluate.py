@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise, width
+
 
 def hash_split(key: Column, train: float = 0.8, seed: int = 42) -> Column:
     """True for the training part; all rows of a key fall on one side."""
@@ -19,21 +21,39 @@ def standardise(df: DataFrame, columns: list[str], fit_on: Column) -> DataFrame:
     return joined.select(*[((F.col(c) - F.col(f"_m_{c}")) / scale[c]).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def running_totals(per: DataFrame, key: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """per (distinct keys) with r_<column>: the column's sum over all rows up to and including this one, in the order of the key.
+
+    Keys are cut into ranges of about equal numbers of rows; each range sums by itself and takes the offset of those before it, so no task
+    holds the whole order however the keys crowd."""
+    order = F.desc(key) if descending else F.asc(key)
+    cut = materialise(per.repartitionByRange(width(per.sparkSession), order).withColumn("_piece", F.spark_partition_id()), "ranges")
+    sums = cut.groupBy("_piece").agg(*[F.sum(c).alias(f"_o_{c}") for c in columns])
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of a shuffle
+    offsets = sums.select("_piece", *[F.coalesce(F.sum(f"_o_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in columns])
+    here = Window.partitionBy("_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, "_piece").select(*per.columns, *[(F.sum(c).over(here) + F.col(f"_o_{c}")).alias(f"r_{c}") for c in columns])
+
+
+def exact_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
+    """The exact median of a column without NULL and NaN, one row (NULL if there is none): the values at the middle ranks, found by
+    range-partitioned running counts instead of one task with all values."""
+    per = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    run = running_totals(per, "v", ["n"])
+    total = run.agg(F.sum("n").alias("_t"))
+    lower, upper = F.floor((F.col("_t") - 1) / 2), F.floor(F.col("_t") / 2)
+    holds = lambda k: (F.col("r_n") - F.col("n") <= k) & (F.col("r_n") > k)
+    return run.join(F.broadcast(total), F.lit(True)).agg(((F.max(F.when(holds(lower), F.col("v"))) + F.max(F.when(holds(upper), F.col("v")))) / 2).alias(name))
+
+
 def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Per distinct score, from the highest: positives and rows there and above (tp, n), with the totals.
 
-    Rows are reduced to distinct scores before the running sums; each range of scores sums by itself and takes the offset of those above,
-    so no task holds the whole ranking.
-    """
+    Rows are reduced to distinct scores before the running sums."""
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("c"))
-    span = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    per = per.join(F.broadcast(span), F.lit(True)).withColumn("b", F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * 256), F.lit(0)))
-    sums = per.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("c").alias("bc"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # at most 257 rows
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    off = sums.select("b", *[F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"o{x}") for x in ("bp", "bc")], F.sum("bp").over(everything).alias("pos"), F.sum("bc").over(everything).alias("all"))
-    w = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.join(off, "b").select("s", "p", "c", (F.sum("p").over(w) + F.col("obp")).alias("tp"), (F.sum("c").over(w) + F.col("obc")).alias("n"), "pos", "all")
+    run = running_totals(per, "s", ["p", "c"], descending=True)
+    total = run.agg(F.sum("p").alias("pos"), F.sum("c").alias("all"))  # one row
+    return run.join(F.broadcast(total), F.lit(True)).select("s", "p", "c", F.col("r_p").alias("tp"), F.col("r_c").alias("n"), "pos", "all")
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +59,7 @@ def running_before(points: DataFrame, bounds: DataFrame, entity: str, time: str,
     return grid_cells(bounds, entity, step_s).join(per, [entity, "timestep"], "left").select(entity, "timestep", F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("total"))
 
 
-def or_zero(*columns: str) -> dict[str, Column]:
-    """Sums over nothing are 0."""
-    return {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
+def distinct_times(entity: str, *streams: tuple[DataFrame, str]) -> DataFrame:
+    """The distinct times (entity, t) at which any stream has a record: reduced in each stream before they meet. NULL entities and times are left out."""
+    parts = [df.select(entity, F.col(time).cast("double").alias("t")).dropna().distinct() for df, time in streams]
+    return reduce(DataFrame.unionByName, parts).distinct()

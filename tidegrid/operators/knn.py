@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def fill_block(x: np.ndarray, rows: int = 256) -> np.ndarray:
     """Each NaN from the row that is nearest by mean squared difference over the columns both have, and has the column."""
@@ -28,14 +30,15 @@ def fill_block(x: np.ndarray, rows: int = 256) -> np.ndarray:
     return out
 
 
-def nearest_neighbour_fill(df: DataFrame, key: list[str], columns: list[str], chunk_rows: int = 2000) -> DataFrame:
+def nearest_neighbour_fill(df: DataFrame, key: list[str], columns: list[str], chunk_rows: int = 9999) -> DataFrame:
     """Fill NULLs of the columns from the nearest row of the same chunk; distances on columns scaled by their deviation.
 
-    Chunks are drawn by hash of the key and hold about chunk_rows rows at every size of the table. A row that shares no observed column
+    Chunks are drawn by hash of the key and hold about chunk_rows rows, as many as the blueprint's: up to that size there is one chunk and
+    the neighbour is the nearest of all rows; above, it is the nearest of about chunk_rows rows drawn at random. A row that shares no observed column
     with a row that has the value keeps its NULL. Equal distances take the row with the smaller key."""
-    n = df.count()
-    chunks = max(1, -(-n // chunk_rows))
-    s = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    df = materialise(df, "rows")  # counted, scaled and filled from one computation
+    s = df.agg(F.count("*").alias("_n"), *[F.stddev_pop(c).alias(c) for c in columns]).first()
+    chunks = max(1, -(-s["_n"] // chunk_rows))
     scale = np.array([float(s[c]) if s[c] else 1.0 for c in columns])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

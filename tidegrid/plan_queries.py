@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import carry, clean, closest, cohort, evaluate, flags, grid, knn, models
 from .plans import imputation
-from .plans.trajectory import CONCEPTS, HOUR, Trajectories
+from .plans.trajectory import CONCEPTS, HOUR, Config, Trajectories
 from .sources.tables import epoch, nan_to_null, table
 
 QUERIES: dict = {}
@@ -28,12 +28,17 @@ def query(sql: str | None = None):
 
 
 # SQL fragments shared by several queries
-U = """u AS (SELECT c.row_id, c.stay_id, c.charttime AS t, c.itemid, i.concept, c.valuenum AS v, coalesce(c.storetime, -1) AS st
-  FROM chartevents c JOIN d_items i ON c.itemid = i.itemid
-  WHERE i.kind IN ('measured', 'setting') AND i.linksto = 'chartevents' AND c.stay_id IS NOT NULL AND c.charttime IS NOT NULL AND c.valuenum IS NOT NULL AND NOT isnan(c.valuenum))"""
+def _u(where: str = "true") -> str:
+    """Usable numeric readings of both tables."""
+    part = """SELECT c.row_id, c.stay_id, c.{t} AS t, c.itemid, i.concept, c.valuenum AS v, coalesce(c.storetime, -1) AS st, {lab} AS lab FROM {n} c JOIN d_items i ON c.itemid = i.itemid
+    WHERE i.kind IN ('measured', 'setting') AND c.stay_id IS NOT NULL AND c.{t} IS NOT NULL AND c.valuenum IS NOT NULL AND NOT isnan(c.valuenum) AND {w}"""
+    return f"u AS ({part.format(n='chartevents', t='charttime', lab=0, w=where)} UNION ALL {part.format(n='labs_le', t='timestp', lab=1, w=where)})"
+
+
+U = _u()
 WIDE = (
     U
-    + f""", k AS (SELECT *, row_number() OVER (ORDER BY itemid, st, row_id) AS pr FROM u WHERE concept IN ({", ".join(f"'{c}'" for c in CONCEPTS)})),
+    + f""", k AS (SELECT *, row_number() OVER (ORDER BY lab, itemid, st, row_id) AS pr FROM u WHERE concept IN ({", ".join(f"'{c}'" for c in CONCEPTS)})),
 w AS (SELECT stay_id, t, {", ".join(f"arg_max(v, pr) FILTER (WHERE concept = '{c}') AS {c}" for c in CONCEPTS)} FROM k GROUP BY 1, 2)"""
 )
 ONSET = """near AS (SELECT a.abx_id, a.stay_id, a.starttime AS ta, b.charttime AS tb,
@@ -45,7 +50,7 @@ B = """near_ev AS (SELECT u.stay_id, u.t, u.concept, u.v, onset_time FROM u JOIN
 b0 AS (SELECT stay_id, greatest(min(t), min(onset_time) - 86400) AS first, least(max(t), min(onset_time) + 259200) AS last FROM near_ev GROUP BY 1),
 b AS (SELECT stay_id, first, CAST(ceil((last - first) / 14400.0) AS BIGINT) AS n FROM b0 WHERE last > first)"""
 # the concepts of the trajectories only
-UC = U.replace("i.kind IN", f"i.concept IN ({', '.join(repr(c) for c in CONCEPTS)}) AND i.kind IN")
+UC = _u(f"i.concept IN ({', '.join(repr(c) for c in CONCEPTS)})")
 GRID = f"{UC}, {ONSET}, {B}"
 MAPHR = """g AS (SELECT near_ev.stay_id, CAST(floor((t - first) / 14400.0) AS BIGINT) + 1 AS timestep, avg(v) FILTER (WHERE concept = 'map') AS map, avg(v) FILTER (WHERE concept = 'heart_rate') AS heart_rate,
     avg(v) FILTER (WHERE concept = 'sbp') AS sbp, avg(v) FILTER (WHERE concept = 'temp_c') AS temp_c, avg(v) FILTER (WHERE concept = 'respiratory_rate') AS respiratory_rate
@@ -345,10 +350,51 @@ def point_sum_cumulative(spark, d):
     return total.join(each, ["stay_id", "timestep"], "left").select("stay_id", "timestep", F.round(F.coalesce("s", F.lit(0.0)), 3).alias("step_sum"), F.round("total", 3).alias("total"))
 
 
-@query()
+_C = Config()
+_LIMITS = {"below": 75.0, "fluid": 500.0}  # of this project's own choice
+
+
+def _trajectory_sql() -> str:
+    """The whole pipeline: cleaned, held for their hours, cell means, streams, rolling sum and first event."""
+
+    def cleaned(c: str) -> str:
+        lo, hi = _C.bounds.get(c, (None, None))
+        if c == "spo2":
+            return "CASE WHEN spo2 > 150 THEN NULL WHEN spo2 > 100 THEN 100 ELSE spo2 END AS spo2"
+        if c == "fio2":
+            pct = "(CASE WHEN fio2 > 100 THEN NULL WHEN fio2 < 1 THEN fio2 * 100 ELSE fio2 END)"
+            return f"CASE WHEN {pct} >= 20 THEN {pct} END AS fio2"
+        return f"CASE WHEN true{'' if lo is None else f' AND {c} >= {lo}'}{'' if hi is None else f' AND {c} <= {hi}'} THEN {c} END AS {c}"
+
+    at = "last_value(CASE WHEN {c} IS NOT NULL THEN t END IGNORE NULLS) OVER w1"
+    held = ", ".join(f"coalesce({c}, CASE WHEN t - {at.format(c=c)} <= {_C.hold_h[c] * 3600} THEN last_value({c} IGNORE NULLS) OVER w1 END) AS {c}" for c in CONCEPTS)
+    return f"""WITH {GRID}, {CELL},
+  k AS (SELECT u.*, row_number() OVER (ORDER BY lab, itemid, st, row_id) AS pr FROM u JOIN onset USING (stay_id) WHERE t >= onset_time - 86400 AND t < onset_time + 259200),
+  w AS (SELECT stay_id, t, {", ".join(f"arg_max(v, pr) FILTER (WHERE concept = '{c}') AS {c}" for c in CONCEPTS)} FROM k GROUP BY 1, 2),
+  c0 AS (SELECT stay_id, t, {", ".join(cleaned(c) for c in CONCEPTS)} FROM w),
+  h AS (SELECT stay_id, t, {held} FROM c0 WINDOW w1 AS (PARTITION BY stay_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  m AS (SELECT h.stay_id, CAST(floor((t - first) / 14400.0) AS BIGINT) + 1 AS timestep, {", ".join(f"avg({c}) AS {c}" for c in CONCEPTS)} FROM h JOIN b USING (stay_id) WHERE (t - first) / 14400.0 < n GROUP BY 1, 2),
+  f AS (SELECT stay_id, starttime, endtime, amount, CASE WHEN NOT isnan(rate) THEN rate END AS rate FROM fluid WHERE stay_id IS NOT NULL AND starttime IS NOT NULL AND endtime IS NOT NULL),
+  fs AS (SELECT c.stay_id, c.timestep, coalesce(sum(amount) FILTER (WHERE starttime < we AND endtime >= ws AND endtime >= starttime), 0) AS fluid_step, coalesce(sum(amount) FILTER (WHERE endtime < we), 0) AS fluid_total,
+    coalesce(median(rate) FILTER (WHERE starttime < we AND endtime >= ws AND endtime >= starttime), 0) AS rate_median, coalesce(max(rate) FILTER (WHERE starttime < we AND endtime >= ws AND endtime >= starttime), 0) AS rate_max
+    FROM cell c LEFT JOIN f ON f.stay_id = c.stay_id GROUP BY 1, 2),
+  a AS (SELECT stay_id, starttime, stoptime, lower(trim(drug)) AS drug FROM abx WHERE stay_id IS NOT NULL AND stoptime >= starttime),
+  ds AS (SELECT c.stay_id, c.timestep, count(DISTINCT drug) AS n_drugs FROM cell c LEFT JOIN a ON a.stay_id = c.stay_id AND starttime <= we AND stoptime >= ws GROUP BY 1, 2),
+  s AS (SELECT stay_id, min(epoch(intime)) AS i FROM icustays GROUP BY 1),
+  t AS (SELECT c.stay_id, c.timestep, ws AS timestamp, (ws - i) / 3600 AS hours_in, {", ".join(CONCEPTS)}, fluid_step, fluid_total, rate_median, rate_max, n_drugs FROM cell c LEFT JOIN m USING (stay_id, timestep)
+    JOIN fs USING (stay_id, timestep) JOIN ds USING (stay_id, timestep) LEFT JOIN s USING (stay_id)),
+  r AS (SELECT *, sum(fluid_step) OVER (PARTITION BY stay_id ORDER BY timestep ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS roll FROM t),
+  e AS (SELECT *, max(CAST(coalesce(roll >= {_LIMITS["fluid"]} AND map < {_LIMITS["below"]}, false) AS INT)) OVER (PARTITION BY stay_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM r)
+  SELECT stay_id, timestep, timestamp, {", ".join(f"round({c}, 4) AS {c}" for c in [*CONCEPTS, "fluid_step", "fluid_total", "rate_median", "rate_max", "hours_in"])}, round(roll, 4) AS fluid_rolling, n_drugs,
+    CASE WHEN past = 1 THEN 2 WHEN roll >= {_LIMITS["fluid"]} AND map < {_LIMITS["below"]} THEN 1 ELSE 0 END AS event_flag FROM e"""
+
+
+@query(_trajectory_sql())
 def trajectory_grid(spark, d):
-    """The whole pipeline: cleaned, held, gridded and flagged; its parts have their SQL above."""
-    return _t(spark, d).flagged()
+    """The whole pipeline: cleaned, held, gridded, joined with its streams and flagged."""
+    t = _t(spark, d).flagged(**_LIMITS)
+    places = [*CONCEPTS, "fluid_step", "fluid_total", "rate_median", "rate_max", "hours_in", "fluid_rolling"]
+    return t.withColumns({c: F.round(c, 4) for c in places})
 
 
 @query(f"""WITH {G4}, n AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY timestep) AS i FROM g),
@@ -381,9 +427,9 @@ def ratio_fill_mean_median(spark, d):
     return r.join(F.broadcast(s), F.lit(True)).select("stay_id", "timestep", F.round(F.coalesce("x", "ax"), 4).alias("ratio"), F.round(F.coalesce("map", "mm"), 4).alias("map"))
 
 
-@query(f"WITH {G4} SELECT stay_id, timestep, CASE WHEN map IS NULL THEN 0 WHEN map >= 70 THEN 0 WHEN map >= 65 THEN 1 ELSE 2 END AS score FROM g")
+@query(f"WITH {G4} SELECT stay_id, timestep, CASE WHEN map IS NULL THEN 0 WHEN map >= 90 THEN 0 WHEN map >= 80 THEN 1 ELSE 2 END AS score FROM g")
 def ordinal_score_map(spark, d):
-    return _cells(spark, d).select("stay_id", "timestep", clean.ordinal_score(F.col("map"), [(70, 0), (65, 1)], 2).alias("score"))
+    return _cells(spark, d).select("stay_id", "timestep", clean.ordinal_score(F.col("map"), [(90, 0), (80, 1)], 2).alias("score"))
 
 
 def _composite(c: DataFrame) -> DataFrame:
@@ -541,7 +587,7 @@ def tumbling_window_mean(spark, d):
     return e.groupBy("user_id", "event_type", F.window("ts", "4 hours")).agg(F.avg("value").alias("m"), F.count("*").alias("n")).select("user_id", "event_type", F.col("window.start").cast("double").alias("window_start"), F.round("m", 4).alias("mean_value"), "n")
 
 
-@query(f"WITH {U}, o AS (SELECT stay_id, concept, v, row_number() OVER (PARTITION BY stay_id, concept ORDER BY t DESC, row_id DESC) AS r FROM u) SELECT stay_id, concept, v FROM o WHERE r <= 3")
+@query(f"WITH {U}, o AS (SELECT stay_id, concept, v, row_number() OVER (PARTITION BY stay_id, concept ORDER BY t DESC, lab DESC, row_id DESC) AS r FROM u) SELECT stay_id, concept, v FROM o WHERE r <= 3")
 def top_k_per_group(spark, d):
-    w = Window.partitionBy("stay_id", "concept").orderBy(F.desc("t"), F.desc("row_id"))
+    w = Window.partitionBy("stay_id", "concept").orderBy(F.desc("t"), F.desc("lab"), F.desc("row_id"))
     return _t(spark, d).readings().withColumn("r", F.row_number().over(w)).where("r <= 3").select("stay_id", "concept", "v")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import carry, cohort, knn
+from ..session import materialise
 
 
-def fill_missing(df: DataFrame, entity: str, order: str, columns: list[str], drop_at: float = 0.8, interpolate_below: float = 0.05, chunk_rows: int = 2000) -> DataFrame:
+def fill_missing(df: DataFrame, entity: str, order: str, columns: list[str], drop_at: float = 0.8, interpolate_below: float = 0.05, chunk_rows: int = 9999) -> DataFrame:
     """Drop columns that miss drop_at or more; interpolate those that miss less than interpolate_below; nearest-neighbour fill for the rest.
 
     Interpolation runs within an entity. Columns that miss nothing take part in the distances only."""
+    df = materialise(df, "gridded")
     missing = {r.column_name: r.missing or 0.0 for r in cohort.missing_profile(df, columns).collect()}
     kept = [c for c in columns if missing[c] < drop_at]
     df = df.drop(*[c for c in columns if c not in kept])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +35,12 @@ def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None,
 
 
 def read_concepts(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON concept dictionary {concept: {codes, unit, category, hold_time}} as rows (code, concept, unit, category, hold_s)."""
-    entries = json.loads(Path(path).read_text())
-    rows = [(int(c), k, v.get("unit"), v.get("category"), float(v["hold_time"]) * 3600) for k, v in entries.items() for c in v["codes"]]
-    return spark.createDataFrame(rows, "code BIGINT, concept STRING, unit STRING, category STRING, hold_s DOUBLE")
+    """A JSON concept dictionary {concept: {codes, unit, category, hold_time}} as rows (code, concept, unit, category, hold_s).
+
+    Read by Spark, so from any file system; a missing hold_time (hours), unit or category gives NULL."""
+    entry = "MAP<STRING, STRUCT<codes: ARRAY<STRING>, unit: STRING, category: STRING, hold_time: DOUBLE>>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("concept", "x"))
+    return whole.select(F.explode("x.codes").alias("code"), "concept", "x").select(F.col("code").cast("bigint").alias("code"), "concept", "x.unit", "x.category", (F.col("x.hold_time") * 3600).alias("hold_s"))
 
 
 def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
