@@ -7,7 +7,8 @@ import pytest
 from tidegrid.llm import mixing
 
 tiktoken = pytest.importorskip("tiktoken")
-pytestmark = pytest.mark.skipif(not Path(mixing.TOKENIZER).exists(), reason="no vocabulary")
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+pytestmark = pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no vocabulary")
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4), ("none", 0.1, 2)]
 VOCAB = {"a": "apple river stone", "b": "violin concert stage", "c": "engine piston valve"}
 
@@ -15,7 +16,7 @@ VOCAB = {"a": "apple river stone", "b": "violin concert stage", "c": "engine pis
 def run(spark, docs, targets=TARGETS, **kw):
     d = spark.createDataFrame([(i, t, s, "h", "p", 1.0) for i, t, s in docs], "doc_id BIGINT, text STRING, source STRING, host STRING, label STRING, tokens DOUBLE")
     t = spark.createDataFrame(targets, "source STRING, target_share DOUBLE, max_repeats INT")
-    m, s = mixing.mix(d, t, **kw)
+    m, s = mixing.mix(d, t, tokenizer=TOKENIZER, **kw)
     return m.collect(), {r.source: r for r in s.collect()}
 
 
@@ -37,6 +38,7 @@ def test_shares_caps_and_soft_members(spark):
     for s, x in reach.items():
         assert shares[s].actual_share == pytest.approx(x, abs=0.02)
     assert shares["none"].actual_share == 0 and shares["none"].pages == 0
+    assert all(r.converged for r in shares.values())
     cap = {s: r for s, _, r in TARGETS}
     assert all(1 <= r.repeats <= cap[r.source] for r in used)
     assert len({r.doc_id for r in used}) == len(used)
@@ -51,6 +53,12 @@ def test_stated_total_and_unknown_source(spark):
     assert all(r.doc_id != 9000 for r in used)
 
 
+def test_rates_still_moving_are_reported(spark):
+    """One step is not enough where the caps bind."""
+    _, shares = run(spark, corpus(), rounds=1)
+    assert not any(r.converged for r in shares.values())
+
+
 def test_missing_empty_and_no_labels(spark):
     docs = [(1, None, "a"), (2, "", "a"), (None, "apple", "a"), (3, "apple river", "a"), (4, "violin", "b")]
     used, _ = run(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)])
@@ -66,11 +74,11 @@ def test_missing_empty_and_no_labels(spark):
 
 
 def test_token_counts(spark):
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(mixing.TOKENIZER).read_bytes().splitlines())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(TOKENIZER).read_bytes().splitlines())}
     enc = tiktoken.Encoding("own", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["Hello  world's 12 cafés", "", None, "<|endoftext|>", "x" * 5000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id BIGINT, text STRING")
-    assert {r.id: r.tokens for r in mixing.count_tokens(df, "text").collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert {r.id: r.tokens for r in mixing.count_tokens(df, "text", TOKENIZER).collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize(("p", "source", "most"), [([0.993] + [0.007 / 6] * 6, "a", 1), ([0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5], "a", 1), ([0.003, 0.0, 0.0, 0.0, 0.0, 0.0, 0.997], "g", 4)])

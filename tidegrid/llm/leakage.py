@@ -51,16 +51,19 @@ def canonical(ws: list[str], h: np.ndarray, plain: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(t: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the first word, hash) of all windows of templates: two words in order, up to GAPS apart; two placeholders are none."""
+def windows(t: np.ndarray, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the first word, hash, literal) of all windows: two words in order, up to GAPS apart, as templates t; where a placeholder
+    takes part also with the words h that it stands for. Two placeholders make no template window."""
     slot = np.isin(t, (NUMBER, UNIT, NAME))
-    at, out = [], []
+    at, out, literal = [], [], []
     for g in range(1, GAPS + 1):
-        k = np.flatnonzero((owner[g:] == owner[:-g]) & ~(slot[g:] & slot[:-g]))
-        w = (t[k] * np.uint64(0x9E3779B97F4A7C15) + t[k + g]) * np.uint64(0xD6E8FEB86659FD93)
-        at.append(k)
-        out.append(w ^ (w >> np.uint64(32)))
-    return np.concatenate(at), np.concatenate(out)
+        same = owner[g:] == owner[:-g]
+        for x, k in ((t, np.flatnonzero(same & ~(slot[g:] & slot[:-g]))), (h, np.flatnonzero(same & (slot[g:] | slot[:-g])))):
+            w = (x[k] * np.uint64(0x9E3779B97F4A7C15) + x[k + g]) * np.uint64(0xD6E8FEB86659FD93)
+            at.append(k)
+            out.append(w ^ (w >> np.uint64(32)))
+            literal.append(np.full(len(k), x is h))
+    return np.concatenate(at), np.concatenate(out), np.concatenate(literal)
 
 
 def _words_of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +84,10 @@ def _windows_of_items(plain: Broadcast) -> Callable[[Iterable[pa.RecordBatch]],
             lists = b.column(1).to_pylist()
             ws = [w for x in lists for w in x]
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            at, win = windows(canonical(ws, _hash(ws), plain.value), owner)
+            h = _hash(ws)
+            at, win, literal = windows(canonical(ws, h, plain.value), h, owner)
             ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[at]]), pa.array(win.view(np.int64))], names=["item_id", "win"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[at]]), pa.array(win.view(np.int64)), pa.array(literal)], names=["item_id", "win", "literal"])
 
     return run
 
@@ -113,7 +117,7 @@ def _pages(plain: Broadcast, wanted: Broadcast) -> Callable[[Iterable[pa.RecordB
                 known = plain.value[(h & np.uint64(BITS - 1)).astype(np.int64)]
                 _, one = np.unique(h[known] * np.uint64(0x9E3779B97F4A7C15) + owner[known].astype(np.uint64), return_index=True)  # a word once a page
                 word, n_word = np.unique(h[known][one], return_counts=True)
-                _, win = windows(canonical(ws, h, plain.value), owner)
+                _, win, _ = windows(canonical(ws, h, plain.value), h, owner)
                 win, n_win = np.unique(win[wanted.value[(win & np.uint64(BITS - 1)).astype(np.int64)]], return_counts=True)
                 n = len(ids), len(word), len(win)
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +140,8 @@ def _hits(plain: Broadcast, rare: Broadcast) -> Callable[[Iterable[pa.RecordBatc
                 lists = [t.split() for t in texts]
                 ws = [w for x in lists for w in x]
                 owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                at, win = windows(canonical(ws, _hash(ws), plain.value), owner)
+                h = _hash(ws)
+                at, win, _ = windows(canonical(ws, h, plain.value), h, owner)
                 ok = rare.value[(win & np.uint64(BITS - 1)).astype(np.int64)]
                 doc, win = np.array(ids, np.int64)[owner[at[ok]]], win[ok]
                 o = np.lexsort((win, doc))
@@ -177,13 +182,14 @@ def _aligned(a: list[str], b: list[str], weight: list[float]) -> list[tuple[int,
     return out[::-1]
 
 
-def _unbroken(places: dict[str, list[int]], page: list[str]) -> int:
-    """Length of the longest stretch of the item that stands unbroken in the page."""
-    longest, before = 0, {}
-    for w in page:
-        before = {k: before.get(k - 1, 0) + 1 for k in places.get(w, ())}
-        if before:
-            longest = max(longest, *before.values())
+def _unbroken(places: dict[str, list[int]], page: list[str], at: list[int]) -> int:
+    """Length of the longest stretch of the item that stands unbroken in the page; at: where the page has words of the item."""
+    longest, last, before = 0, -9, {}
+    for k in at:
+        ks = places[page[k]]
+        before = {x: before.get(x - 1, 0) + 1 for x in ks} if k == last + 1 else dict.fromkeys(ks, 1)
+        last = k
+        longest = max(longest, *before.values()) if len(before) > 1 else max(longest, before[ks[0]])
     return longest
 
 
@@ -210,7 +216,7 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
     bits = {w: sum(1 << k for k in ks) for w, ks in places.items()}
     at = [k for k, w in enumerate(page) if w in bits]
     masks = [bits[page[k]] for k in at]
-    run = _unbroken(places, page)
+    run = _unbroken(places, page, at)
     # the least words in order of any case: the share asked for, or so many that all slots filled anew make up for the rest
     least = max(1, min(math.ceil(least_share * m - 1e-9), math.ceil(HELD * m - 1e-9) - len(slots)))
     here = {page[k] for k in at}
@@ -258,16 +264,17 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
 
 def leaked_items(
     pages: DataFrame, items: DataFrame, page_id: str = "doc_id", page_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least_share: float = 0.5, sure: float = 0.65, common: float = 0.005, enough: float = 0.5, share_m: float = 0.15,
+    least_share: float = 0.5, sure: float = 0.7, common: float = 0.005, enough: float = 1.0, share_m: float = 0.15,
 ) -> DataFrame:
     """Pages that hold an item's wording, whole or at least half of its words in order in one passage.
 
     Both sides are folded (case, accents, punctuation, spacing, invisible and look-alike letters, doubly encoded bytes) and canonicalised:
     numbers, units and names are typed placeholders, a name being a word of one item that no item writes without a capital. Template
-    windows are two words in order, at most three apart, so that single words in between may differ or be missing. Windows of the items
+    windows are two words in order, at most three apart, so that single words in between may differ or be missing; where a placeholder takes
+    part, the window also counts with the word it stands for, since copies mostly keep it. Windows of the items
     are a table, joined with the windows of the pages by hash; pages send only windows that a bitmap of fixed size may hold. Windows
     that stand in pages more often than `common` times their number (20 times at least) are phrases everybody uses and don't make a pair,
-    but an item keeps its rarest windows, `enough` x its words, however common they are. Half of an item's words in order leave at least
+    but an item keeps its rarest template windows, `enough` x its words, however common they are. Half of an item's words in order leave at least
     m / 3 - 1 windows whole, m being its words, if the page adds none in between; rare ones are a part of them. A page that shares share_m x the
     item's words (of an item with few rare windows a sixth of those) is aligned with it: in the best stretch of 1.25 items, or over
     the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
@@ -288,7 +295,7 @@ def leaked_items(
     plain = bitmap(lexicon, "h")
     ordered = lambda *c: F.array_sort(F.collect_list(F.struct("k", *c)))
     texts = each.groupBy("item_id").agg(ordered("w").alias("x")).select("item_id", F.transform("x", lambda x: x["w"]).alias("w"))
-    wins = materialise(texts.mapInArrow(_windows_of_items(plain), "item_id BIGINT, win BIGINT").distinct(), "item_windows")
+    wins = materialise(texts.mapInArrow(_windows_of_items(plain), "item_id BIGINT, win BIGINT, literal BOOLEAN").distinct(), "item_windows")
     folded = materialise(docs.mapInArrow(_pages(plain, bitmap(wins, "win")), "kind INT, id BIGINT, folded STRING, n BIGINT"), "folded")
     page = folded.where("kind = 0").select(F.col("id").alias("doc_id"), "folded")
     total = page.count()
@@ -301,9 +308,9 @@ def leaked_items(
     item = materialise(item.groupBy("item_id").agg(ordered("w", "weight", "plain").alias("x"), F.count("*").alias("m")), "items")
     # which windows make pairs
     seen = wins.join(count(2).withColumnRenamed("id", "win"), "win", "left").join(item.select("item_id", "m"), "item_id")
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "win"))
-    few = (F.coalesce("n", F.lit(0)) <= max(20.0, common * total)) | (F.col("rank") <= enough * F.col("m"))
-    kept = seen.withColumn("rank", rank).where(few).withColumn("of", F.count("*").over(Window.partitionBy("item_id")))
+    rank = F.row_number().over(Window.partitionBy("item_id", "literal").orderBy(F.coalesce("n", F.lit(0)), "win"))
+    few = (F.coalesce("n", F.lit(0)) <= max(20.0, common * total)) | (~F.col("literal") & (F.col("rank") <= enough * F.col("m")))
+    kept = seen.withColumn("rank", rank).where(few).withColumn("of", F.count_if(~F.col("literal")).over(Window.partitionBy("item_id")))
     need = F.greatest(F.lit(1.0), F.least(F.ceil(F.col("m") * share_m), F.ceil(F.col("of") / 6)))
     kept = materialise(kept.where("n IS NOT NULL").select("item_id", "win", need.alias("need")), "kept")
     hits = page.mapInArrow(_hits(plain, bitmap(kept, "win")), "doc_id BIGINT, win BIGINT")

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split that comes before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BINS = 4096
 
 
-def count_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER, name: str = "tokens") -> DataFrame:
-    """df without `text`, with the number of its tokens (0 for NULL). The vocabulary travels with the tasks; its size is fixed."""
+def count_tokens(df: DataFrame, text: str, tokenizer: str, name: str = "tokens") -> DataFrame:
+    """df without `text`, with the number of its tokens (0 for NULL) by the rank file `tokenizer`, read on the driver. The vocabulary
+    travels with the tasks; its size is fixed."""
     vocabulary = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     rest = [c for c in df.columns if c != text]
 
@@ -53,13 +53,12 @@ def _targets(targets: DataFrame, source: str, share: str, repeats: str) -> list[
     return [Domain(r[0], float(r.s or 0.0), int(r.r or 0)) for r in rows]
 
 
-def posteriors(pages: DataFrame, features: str, label: Column, k: int, fit_rows: int, buckets: int = 4096) -> DataFrame:
-    """pages with `p`, an array of k domain probabilities, from logistic regression on hashed words.
+def posteriors(pages: DataFrame, features: str, label: Column, k: int, fit_rows: int, n: dict[int, int], buckets: int = 4096) -> DataFrame:
+    """pages with `p`, an array of k domain probabilities, from logistic regression on hashed words. n: how many rows each label has.
 
     Only the unlabelled rows are kept; at most about fit_rows labelled rows, drawn by hash of the id, fit the model. With labels of
     fewer than two domains every unlabelled row takes the labels' frequencies (or 1 / k)."""
     lab = pages.withColumn("label", label.cast("double"))
-    n = {int(r.label): r.n for r in lab.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
     fresh = lab.where("label IS NULL")
     total = sum(n.values())
     if len(n) < 2:
@@ -77,7 +76,7 @@ def posteriors(pages: DataFrame, features: str, label: Column, k: int, fit_rows:
 
 def mix(
     pages: DataFrame, targets: DataFrame, page_id: str = "doc_id", page_text: str = "text", source: str = "source", hints: tuple[str, ...] = ("host",), share: str = "target_share",
-    repeats: str = "max_repeats", tokenizer: str = TOKENIZER, total_tokens: float | None = None, fit_rows: int = 20_000, rounds: int = 60, tolerance: float = 1e-4,
+    repeats: str = "max_repeats", *, tokenizer: str, total_tokens: float | None = None, fit_rows: int = 20_000, rounds: int = 500, tolerance: float = 1e-4,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): how often each page is used so that each source has its target share of the tokens, and what came of it.
 
@@ -91,7 +90,8 @@ def mix(
     never used more often than max_repeats.
 
     mix: doc_id, source (the domain, for soft members the likeliest), tokens, rate, repeats; used pages only. shares: source,
-    target_share, actual_share, tokens, pages, most_repeats; one row per target, 0 where nothing could be used.
+    target_share, actual_share, tokens, pages, most_repeats, converged; one row per target, 0 where nothing could be used. converged is false
+    if the rates still moved after `rounds` steps.
     NULL or empty text has no tokens and is not used; NULL ids are left out; repeated rows count as rows; empty tables give an empty
     mix and actual shares of 0; other columns are ignored.
     """
@@ -103,13 +103,14 @@ def mix(
     base = pages.select(F.col(page_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("src"), F.col(page_text).alias("text"), *[F.col(h).cast("string").alias(f"h{j}") for j, h in enumerate(hints)]).where("doc_id IS NOT NULL AND length(text) > 0")
     if not k:
         none = "doc_id BIGINT, source STRING, tokens BIGINT, rate DOUBLE, repeats INT"
-        return spark.createDataFrame([], none), spark.createDataFrame([], "source STRING, target_share DOUBLE, actual_share DOUBLE, tokens BIGINT, pages BIGINT, most_repeats INT")
+        return spark.createDataFrame([], none), spark.createDataFrame([], "source STRING, target_share DOUBLE, actual_share DOUBLE, tokens BIGINT, pages BIGINT, most_repeats INT, converged BOOLEAN")
     sized = materialise(count_tokens(base.select("doc_id", "src", "text"), "text", tokenizer), "sized").where("tokens > 0")
     one_hot = F.array(*[(label == i).cast("double") for i in range(k)])
     hard = sized.where(label.isNotNull()).select("doc_id", "tokens", one_hot.alias("p"))
     words = F.concat_ws(" ", *[f"h{j}" for j in range(len(hints))], "text")
     known = base.where(F.col("src").isNull() | label.isNotNull()).select("doc_id", "src", words.alias("f"))
-    guessed = posteriors(known, "f", label, k, fit_rows).select("doc_id", _hundredths("p").alias("p"))
+    labels = {int(r.i): r.n for r in sized.where(label.isNotNull()).groupBy(label.alias("i")).agg(F.count("*").alias("n")).collect()}
+    guessed = posteriors(known, "f", label, k, fit_rows, labels).select("doc_id", _hundredths("p").alias("p"))
     soft = sized.where("src IS NULL").select("doc_id", "tokens").join(guessed.dropDuplicates(["doc_id"]), "doc_id")
     limits = F.array(*[F.lit(float(dm.max_repeats)) for dm in domains])
     cap = F.element_at(limits, F.array_position("p", F.array_max("p")).cast("int"))
@@ -128,12 +129,13 @@ def mix(
 
     state = classes.withColumn("r", F.lit(0.0))
     moves: list[list[float]] = []
-    done, before = 0, float("inf")
+    done, before, converged = 0, float("inf"), False
     for _ in range(rounds):
         sums = state.select("p", "tokens", _walk(moves[done:]).alias("r")).agg(*[F.sum(F.col("tokens") * at(i) * F.col("r")).alias(f"s{i}") for i in range(k)]).first()
         miss = [goal[i] - float(sums[f"s{i}"] or 0.0) for i in range(k)]
         off = sum(x * x for x in miss)
-        if all(abs(x) <= tolerance * max(total_tokens, 1.0) for x in miss) or off > 0.98 * before:
+        # met, or as near as the bounds of the rates allow: the steps no longer bring anything
+        if converged := all(abs(x) <= tolerance * max(total_tokens, 1.0) for x in miss) or before - off <= tolerance * off:
             break
         before = off
         moves.append([x / size[i] if size[i] > 0 else 0.0 for i, x in enumerate(miss)])
@@ -164,7 +166,7 @@ def mix(
     whole = per.agg(F.sum("tokens").alias("all_tokens"))
     plan = spark.createDataFrame([(dm.name, dm.share) for dm in domains], "source STRING, target_share DOUBLE")
     shares = plan.join(per, "source", "left").join(F.broadcast(whole), F.lit(True)).select(
-        "source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        "source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.lit(converged).alias("converged"),
     )
     return result, shares
 

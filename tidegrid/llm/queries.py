@@ -22,12 +22,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("item_id", "doc_id")
 
 
+def tokenizer(spark: SparkSession) -> str:
+    """The rank file of the public tokenizer: spark.tidegrid.tokenizer, or where this box has it."""
+    return spark.conf.get("spark.tidegrid.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=tokenizer(spark))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=tokenizer(spark))[1]
 
 
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
