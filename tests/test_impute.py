@@ -1,6 +1,7 @@
 import random
 import statistics
 
+from tidegrid.operators import impute
 from tidegrid.operators.impute import mean_matching
 
 SCHEMA = "rid BIGINT, entity BIGINT, grp BIGINT, t DOUBLE, period DOUBLE, y DOUBLE, cell STRING, d STRING, e STRING"
@@ -49,6 +50,15 @@ def test_brute_force_range_search(spark):
     assert len(got) == 10 and all(g.donor_rid % 2 == g.grp and g.fill == g.donor_rid for g in got.values())
 
 
+def test_pieces_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(k, rng.randint(0, 20), rng.randint(1, 3), rng.randint(0, 40) * 60.0, 60.0, None if rng.random() < 0.2 else float(rng.randint(50, 90))) for k in range(600)]
+    data += [(1000 + k, None, 4, None, None, None if k == 7 else 1.0) for k in range(40)]
+    whole = {k: (r.fill, r.donor_rid) for k, r in run(spark, data).items()}
+    monkeypatch.setattr(impute, "PIECE", 9)
+    assert {k: (r.fill, r.donor_rid) for k, r in run(spark, data).items()} == whole and all(f is not None for f, _ in whole.values())
+
+
 def test_one_faulty_reading_does_not_blur_the_donors(spark):
     """Each level has donors of its own prediction; a single impossible reading elsewhere must not make them interchangeable."""
     data, want = [(0, 999, 1, 0.0, 60.0, 99999.0)], {}

@@ -13,15 +13,14 @@ def marks_around(rows: DataFrame, keys: list[str], cell: str, order: list[str],
     first and last mark of a cell travel to the spans of `span` cells around it. So windows hold the rows of one cell or the ends of 3 x span
     cells, whatever the entity's size; marks at least span cells away may stay unseen. Marks must sort in the given order.
     """
-    here = Window.partitionBy(*keys, cell).orderBy(*order)
-    first, last = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
-    inside = rows.withColumns({"before": F.last(mark, True).over(first), "after": F.first(mark, True).over(last)})
+    # what follows is what precedes in the reverse order: a running value, where a frame to the end would be read anew for each row
+    back = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumns({"before": F.last(mark, True).over(back([*keys, cell], order)), "after": F.last(mark, True).over(back([*keys, cell], [F.desc(c) for c in order]))})
     ends = rows.groupBy(*keys, cell).agg(F.min(mark).alias("_first"), F.max(mark).alias("_last"))
     own = F.floor(F.col(cell) / span)
-    wide = Window.partitionBy(*keys, "_span").orderBy(cell)
     spread = ends.withColumn("_span", F.explode(F.sequence(own - 1, own + 1)))
     beyond = spread.select(
-        *keys, cell, "_span", F.last("_last", True).over(wide.rowsBetween(Window.unboundedPreceding, -1)).alias("_b"), F.first("_first", True).over(wide.rowsBetween(1, Window.unboundedFollowing)).alias("_a")
+        *keys, cell, "_span", F.last("_last", True).over(back([*keys, "_span"], [cell])).alias("_b"), F.last("_first", True).over(back([*keys, "_span"], [F.desc(cell)])).alias("_a")
     ).where(F.col("_span") == own)
     joined = inside.join(beyond.drop("_span"), [*keys, cell], "left")
     return joined.withColumns({"before": F.coalesce("before", "_b"), "after": F.coalesce("after", "_a")}).drop("_a", "_b")

@@ -2,25 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import pieces, starts
 from ..functions.linear import predict3, ridge3
-from ..session import materialise, width
+from ..session import broadcast_if_small, materialise, width
 from .closest import marks_around
 
+DONOR = "at: DOUBLE, rid: BIGINT, y: DOUBLE"
+PIECE = 200_000  # rows a task works on at a time
+
+
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group and prediction: for each missing one the last donor before it and the next one after it; of groups that
+    may go on in other pieces also the first and last donor (edge)."""
+    task, nth = TaskContext.get().partitionId(), 0
+    for c, opened, goes_on in pieces(batches, ("grp",), ("grp", "at", "h"), PIECE):
+        n = len(c["at"])
+        first = starts(c["grp"])
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], n) - 1
+        g = np.cumsum(first) - 1
+        idx = np.arange(n)
+        don = ~np.isnan(c["y"])
+        lo = np.maximum.accumulate(np.where(don, idx, -1))
+        lo = np.where(lo >= begin[g], lo, -1)
+        hi = np.minimum.accumulate(np.where(don, idx, n)[::-1])[::-1]
+        hi = np.where(hi <= end[g], hi, -1)
+        ask = np.flatnonzero(~don)
+        cut = [k for k, is_cut in ((0, opened), (len(begin) - 1, goes_on)) if is_cut]
+        at = begin[sorted(set(cut))]
+        last = end[sorted(set(cut))]
+        rows = np.concatenate([ask, at])
+        low, high = np.concatenate([lo[ask], hi[at]]), np.concatenate([hi[ask], lo[last]])
+
+        def donor(k: np.ndarray, c: dict[str, np.ndarray] = c) -> pa.Array:
+            parts = [pa.array(c["at"][k]), pa.array(c["rid"][k], pa.int64()), pa.array(c["y"][k])]
+            return pa.StructArray.from_arrays(parts, names=["at", "rid", "y"], mask=pa.array(k < 0))
+
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c["grp"][rows]), pa.array(np.full(len(rows), (task << 32) + nth)), pa.array(np.arange(len(rows)) >= len(ask)), pa.array(c["rid"][rows], pa.int64()), pa.array(c["at"][rows]), donor(low), donor(high)],
+            names=["grp", "piece", "edge", "rid", "at", "lo", "hi"],
+        )
+        nth += 1
+
 
-def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_periods: int = 24, reach_blocks: int = 16) -> DataFrame:
+def mean_matching(rows: DataFrame, ridge: float = 10.0, block_periods: int = 24, reach_blocks: int = 16) -> DataFrame:
     """Every missing y filled with the observed y of a donor of the same group whose prediction lies nearest.
 
     rows: rid (unique), entity, grp, t (seconds), period (usual seconds between readings of the group), y DOUBLE (NULL: missing).
     Predictors of a reading: the observed reading before it, the one after it (up to reach_blocks blocks of block_periods periods away, whether
     or not a block ends between) and the mean of the others in its block, else of those two; all of its entity and group, never itself.
     One ridge regression per group on all observed rows; rows without any predictor, as those without entity, take the group's mean.
-    Donors are searched by their own predictions: distinct predictions of a group are cut by ranges into as many pieces as a shuffle has
-    partitions, each wanted prediction finds the nearest ones below and above that hold donors, within its piece or at the borders of the
-    other pieces; the nearer one gives, of equal ones the lower. Donors of exactly the same prediction are equally near: up to `draws` of
-    them, drawn uniformly (by hash), are kept and take turns by hash of the wanted row.
+    Donors are searched by their own predictions: all rows lie in one order of group, prediction and hash of the id, cut by ranges; a missing
+    row finds the donors next to it in that order, in its piece or at the borders of the others; the nearer one gives, of equal ones the
+    lower. Among donors of exactly its own prediction the hash decides, so they take turns however many there are.
 
     Result: one row per row with NULL y: rid, grp, fill DOUBLE, donor_rid. A group without observed rows gives NULL for both.
     NaN must be NULL already. Rows without group are left out. Repeated rows are rows of their own. Without missing rows or in an empty table the result is empty.
@@ -42,21 +84,16 @@ def mean_matching(rows: DataFrame, draws: int = 3, ridge: float = 10.0, block_pe
     pred = F.when(F.col("x2").isNull(), F.col("a")).otherwise(predict3([F.col("x0"), F.col("x1"), F.col("x2")]))
     # written once: sums in another order must not move a prediction between its uses
     scale = materialise(scale, "models")
-    rated = known.join(F.broadcast(scale), "grp", "left").select("rid", "grp", "y", F.coalesce(F.nanvl(pred, F.lit(0.0)), F.lit(0.0)).alias("at"))
-    drawn = [F.max(F.when(F.col("y").isNotNull(), F.struct(F.xxhash64("rid", F.lit(s)).alias("h"), "rid", "y"))).alias(f"d{s}") for s in range(draws)]
-    donors = F.array_distinct(F.array(*[F.struct(f"d{s}.rid", f"d{s}.y") for s in range(draws)]))
-    points = rated.groupBy("grp", "at").agg(*drawn, F.max(F.col("y").isNull()).alias("asked"))
-    points = points.select("grp", "at", "asked", F.when(F.col("d0").isNotNull(), F.struct("at", donors.alias("d"))).alias("don")).where("grp IS NOT NULL")
-    points = materialise(points.repartitionByRange(width(rows.sparkSession), "grp", "at").withColumn("piece", F.spark_partition_id()), "points")
-    held = F.when(F.col("don").isNotNull(), F.col("at"))
-    edges = points.groupBy("grp", "piece").agg(F.min_by("don", held).alias("first"), F.max_by("don", held).alias("last"))
-    pieces = Window.partitionBy("grp").orderBy("piece")
-    before, after = pieces.rowsBetween(Window.unboundedPreceding, -1), pieces.rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.select("grp", "piece", F.last("last", True).over(before).alias("below"), F.first("first", True).over(after).alias("above"))
-    up, down = Window.partitionBy("grp", "piece").orderBy("at"), Window.partitionBy("grp", "piece").orderBy(F.desc("at"))
-    near = points.select("grp", "piece", "at", "asked", F.last("don", True).over(up).alias("lo"), F.last("don", True).over(down).alias("hi")).where("asked")
-    near = near.join(edges, ["grp", "piece"]).select("grp", "at", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
+    rated = known.join(broadcast_if_small(scale, 10_000), "grp", "left").select("rid", "grp", "y", F.coalesce(F.nanvl(pred, F.lit(0.0)), F.lit(0.0)).alias("at"))
+    order = ["grp", "at", "h"]
+    line = rated.where("grp IS NOT NULL").withColumn("h", F.xxhash64("rid")).repartitionByRange(width(rows.sparkSession), *order).sortWithinPartitions(*order)
+    kind = rows.schema["grp"].dataType.simpleString()
+    near = materialise(line.select(*order, "rid", "y").mapInArrow(_neighbours, f"grp {kind}, piece BIGINT, edge BOOLEAN, rid BIGINT, at DOUBLE, lo STRUCT<{DONOR}>, hi STRUCT<{DONOR}>"), "neighbours")
+    # a group that goes on in other pieces: the last donor before this one and the first after it
+    pieces_ = Window.partitionBy("grp").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("grp").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = near.where("edge").select("grp", "piece", F.last("hi", True).over(pieces_).alias("below"), F.last("lo", True).over(later).alias("above"))
+    asked = near.where("NOT edge").join(edges, ["grp", "piece"], "left").select("rid", "grp", "at", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
     take_hi = F.col("lo").isNull() | ((F.col("hi.at") - F.col("at")) < (F.col("at") - F.col("lo.at")))
-    near = near.select("grp", "at", F.when(take_hi, F.col("hi.d")).otherwise(F.col("lo.d")).alias("d"))
-    got = F.try_element_at("d", (F.pmod(F.xxhash64("rid"), F.greatest(F.size("d"), F.lit(1))) + 1).cast("int"))
-    return rated.where("y IS NULL").join(near, ["grp", "at"]).select("rid", "grp", got["y"].alias("fill"), got["rid"].alias("donor_rid"))
+    got = F.when(take_hi, F.col("hi")).otherwise(F.col("lo"))
+    return asked.select("rid", "grp", got["y"].alias("fill"), got["rid"].alias("donor_rid"))
