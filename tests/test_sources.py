@@ -1,7 +1,9 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tidegrid import session
 from tidegrid.sources import sinks, tables
 
 
@@ -43,6 +45,14 @@ def test_bucketed_sink_and_views(spark, tmp_path):
     assert spark.sql("SELECT count(*) AS n FROM t").first().n == 3
 
 
+def test_intermediates_can_be_dropped(spark):
+    a = session.materialise(spark.range(3), "kept")
+    b = session.bucketed(spark.range(5), "kept", "id")
+    paths = [p for p, _ in session._MADE[-2:]]
+    assert (a.count(), b.count()) == (3, 5) and all(Path(p.removeprefix("file:")).exists() for p in paths)
+    assert session.drop_intermediates(spark) >= 2 and not any(Path(p.removeprefix("file:")).exists() for p in paths)
+
+
 def test_nan_is_null(spark):
     df = tables.nan_to_null(spark.createDataFrame([(float("nan"), "a"), (1.0, "b")], "x DOUBLE, s STRING"))
     assert df.where(F.col("x").isNull()).count() == 1

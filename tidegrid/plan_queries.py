@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import carry, clean, closest, cohort, evaluate, flags, grid, knn, models
-from .plans import imputation
+from .plans import experiments, imputation
+from .plans.experiments import Task
 from .plans.trajectory import CONCEPTS, HOUR, Config, Trajectories
 from .sources.tables import epoch, nan_to_null, table
 
@@ -105,14 +106,25 @@ def like_pattern_map(spark, d):
     return table(spark, d, "chartevents").where("itemid = 700305 AND value IS NOT NULL").select("row_id", clean.first_match([(F.col("value").like(p), F.lit(s)) for p, s in rules]).alias("score"))
 
 
-RULES = {"group_a": [(3, "000", "001"), (4, "0022", "0022")], "group_b": [(3, "002", "003")], "group_c": [(3, "004", "009"), (2, "01", "02")]}
-_FLAGS = ", ".join(
-    f"coalesce(max(CASE WHEN {' OR '.join(f'substr(gsn, 1, {k}) BETWEEN ' + repr(lo) + ' AND ' + repr(hi) for k, lo, hi in ts)} THEN 1 ELSE 0 END), 0) AS {n}" for n, ts in RULES.items()
-)
+# the form of a drug stands for the code system here: some rules hold in one of them only
+RULES = {"group_a": [(None, 3, "000", "001"), ("CAP", 4, "0022", "0022")], "group_b": [("VIAL", 3, "002", "003"), ("BAG", 3, "002", "002")], "group_c": [(None, 3, "004", "009"), ("TAB", 2, "01", "02")]}
+
+
+def _rule(v: str | None, k: int, lo: str, hi: str) -> str:
+    return f"(substr(gsn, 1, {k}) BETWEEN '{lo}' AND '{hi}'" + (f" AND form_unit_disp = '{v}')" if v else ")")
+
+
+_FLAGS = ", ".join(f"coalesce(max(CASE WHEN {' OR '.join(_rule(*t) for t in ts)} THEN 1 ELSE 0 END), 0) AS {n}" for n, ts in RULES.items())
 
 
 def _flags(spark, d):
-    return cohort.prefix_flags(table(spark, d, "abx").where("hadm_id IS NOT NULL"), "hadm_id", "gsn", RULES, table(spark, d, "admissions"))
+    return cohort.prefix_flags(table(spark, d, "abx").where("hadm_id IS NOT NULL"), "hadm_id", "gsn", RULES, table(spark, d, "admissions"), "form_unit_disp")
+
+
+@query("SELECT abx_id, CASE upper(trim(route)) WHEN 'IV' THEN 1 WHEN 'IV DRIP' THEN 2 WHEN 'PO' THEN 3 WHEN 'PO/NG' THEN 4 ELSE 0 END AS code FROM abx")
+def enum_codes(spark, d):
+    r = F.upper(F.trim("route"))
+    return table(spark, d, "abx").select("abx_id", clean.first_match([(r == name, F.lit(k)) for k, name in enumerate(("IV", "IV DRIP", "PO", "PO/NG"), 1)], F.lit(0)).alias("code"))
 
 
 @query(f"SELECT a.hadm_id, {_FLAGS} FROM (SELECT DISTINCT hadm_id FROM admissions) a LEFT JOIN abx USING (hadm_id) GROUP BY 1")
@@ -217,6 +229,19 @@ def key_resolution_last_match(spark, d):
     return cohort.resolve_keys(b, s, "bact_id", "subject_id", "charttime", "stay_id", "i", "z", "ord", 48 * HOUR)
 
 
+@query("""WITH s AS (SELECT hadm_id, stay_id, i, z, row_number() OVER (PARTITION BY hadm_id ORDER BY i, stay_id, z) AS o, count(*) OVER (PARTITION BY hadm_id) AS n
+    FROM (SELECT DISTINCT hadm_id, stay_id, epoch(intime) AS i, epoch(outtime) AS z FROM icustays))
+  SELECT a.abx_id, coalesce(arg_max(s.stay_id, s.o) FILTER (WHERE (a.starttime >= s.i - 172800 AND a.starttime <= s.z + 172800) OR s.n = 1), any_value(a.stay_id)) AS stay_id
+  FROM abx a LEFT JOIN s ON a.hadm_id = s.hadm_id GROUP BY 1""")
+def key_resolution_every_row(spark, d):
+    """Every record takes the key that its second link and time give, and keeps its own only where those give none."""
+    s = table(spark, d, "icustays").select("hadm_id", "stay_id", epoch("intime").alias("i"), epoch("outtime").alias("z")).distinct()
+    s = cohort.ordinal(s, ["hadm_id"], [F.col("i").asc_nulls_last(), F.col("stay_id"), F.col("z").asc_nulls_last()])
+    a = table(spark, d, "abx")
+    found = cohort.resolve_keys(a, s, "abx_id", "hadm_id", "starttime", "stay_id", "i", "z", "ord", 48 * HOUR).withColumnRenamed("stay_id", "found")
+    return a.select("abx_id", "stay_id").join(found, "abx_id").select("abx_id", F.coalesce("found", "stay_id").alias("stay_id"))
+
+
 @query("""WITH p AS (SELECT event_id AS a_id, user_id, epoch(ts) AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS c_id, user_id, epoch(ts) AS t FROM events WHERE event_type = 'error')
   SELECT a_id, c_id FROM (SELECT a_id, c_id, row_number() OVER (PARTITION BY a_id ORDER BY abs(p.t - c.t), c.t, c_id) AS r FROM p JOIN c USING (user_id) WHERE abs(p.t - c.t) <= 259200) WHERE r = 1""")
 def nearest_event_pair(spark, d):
@@ -236,6 +261,20 @@ def window_filter_anchor(spark, d):
     return grid.around_anchor(t.readings(), t.anchors(), "stay_id", "t", "onset_time", 24 * HOUR, 72 * HOUR).select("row_id", "stay_id")
 
 
+@query(f"""WITH {G4}, n AS (SELECT DISTINCT s.stay_id, a.abx_id FROM (SELECT DISTINCT stay_id, subject_id, hadm_id FROM icustays) s JOIN abx a ON s.subject_id = a.subject_id AND s.hadm_id = a.hadm_id)
+  SELECT g.stay_id, g.timestep, n.abx_id FROM g LEFT JOIN n USING (stay_id)""")
+def notes_to_stays(spark, d):
+    """Records known by subject and admission, attached to the rows of the stays they belong to."""
+    rows = _cells(spark, d).select("stay_id", "timestep")
+    return cohort.attach_notes(rows, table(spark, d, "icustays"), table(spark, d, "abx"), "stay_id", ["subject_id", "hadm_id"], "abx_id")
+
+
+@query("""SELECT stay_id, CAST(charttime AS DOUBLE) AS t FROM chartevents WHERE stay_id IS NOT NULL AND charttime IS NOT NULL UNION SELECT stay_id, timestp FROM labs_le WHERE stay_id IS NOT NULL AND timestp IS NOT NULL
+  UNION SELECT stay_id, starttime FROM fluid WHERE stay_id IS NOT NULL AND starttime IS NOT NULL""")
+def distinct_times(spark, d):
+    return grid.distinct_times("stay_id", *[(table(spark, d, n), c) for n, c in (("chartevents", "charttime"), ("labs_le", "timestp"), ("fluid", "starttime"))])
+
+
 # --- irregular rows
 
 
@@ -271,6 +310,13 @@ def horizontal_coalesce(spark, d):
     return _t(spark, d).wide().select("stay_id", "t", F.coalesce("map", "dbp", "sbp").alias("first_known"))
 
 
+@query(f"WITH {WIDE} SELECT stay_id, t, round(coalesce(spo2 / nullif(CASE WHEN fio2 < 1 THEN fio2 * 100 ELSE fio2 END, 0), spo2 / nullif(peep, 0), spo2), 4) AS ratio FROM w")
+def nested_ratio(spark, d):
+    """A ratio whose denominator falls back from one column to the next."""
+    f = F.when(F.col("fio2") < 1, F.col("fio2") * 100).otherwise(F.col("fio2"))
+    return _t(spark, d).wide().select("stay_id", "t", F.round(F.coalesce(F.try_divide("spo2", f), F.try_divide("spo2", "peep"), F.col("spo2")), 4).alias("ratio"))
+
+
 _HOLD = {"heart_rate": 2.0, "temp_c": 6.0, "fio2": 12.0}
 _HELD = ", ".join(
     f"coalesce({c}, CASE WHEN t - last_value(CASE WHEN {c} IS NOT NULL THEN t END IGNORE NULLS) OVER w1 <= {h * 3600} THEN last_value({c} IGNORE NULLS) OVER w1 END) AS {c}" for c, h in _HOLD.items()
@@ -423,7 +469,7 @@ def impute_dispatch(spark, d):
   SELECT stay_id, timestep, round(coalesce(x, (SELECT avg(x) FROM r)), 4) AS ratio, round(coalesce(map, (SELECT median(map) FROM r)), 4) AS map FROM r""")
 def ratio_fill_mean_median(spark, d):
     r = _cells(spark, d).select("stay_id", "timestep", F.try_divide("heart_rate", "sbp").alias("x"), "map")
-    s = r.agg(F.avg("x").alias("ax"), F.median("map").alias("mm"))
+    s = r.agg(F.avg("x").alias("ax")).join(F.broadcast(evaluate.exact_median(r, "map", "mm")), F.lit(True))  # one row each
     return r.join(F.broadcast(s), F.lit(True)).select("stay_id", "timestep", F.round(F.coalesce("x", "ax"), 4).alias("ratio"), F.round(F.coalesce("map", "mm"), 4).alias("map"))
 
 
@@ -456,6 +502,12 @@ def value_counts(spark, d):
     return _composite(_cells(spark, d)).groupBy("score").agg(F.count("*").alias("n"), F.count_distinct("stay_id").alias("stays"))
 
 
+@query(f"""WITH {G4}, {SCORE}, x AS (SELECT stay_id FROM s GROUP BY 1 HAVING arg_min(score, timestep) >= 2 AND max(timestep) - min(timestep) <= 8) SELECT stay_id, timestep FROM s WHERE stay_id NOT IN (SELECT stay_id FROM x)""")
+def early_exclusion(spark, d):
+    """Without the stays that begin with the condition and span at most eight steps."""
+    return cohort.exclude_early(_composite(_cells(spark, d)), "stay_id", "timestep", "timestep", F.col("score") >= 2, 8).select("stay_id", "timestep")
+
+
 EVENT = """e AS (SELECT *, max(CAST(coalesce(score >= 2, false) AS INT)) OVER (PARTITION BY stay_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s),
   ev AS (SELECT *, CASE WHEN past = 1 THEN 2 WHEN score >= 2 THEN 1 ELSE 0 END AS event_flag FROM e)"""
 
@@ -561,13 +613,16 @@ def ridge_fit(spark, d):
 
 @query()
 def experiment_grid(spark, d):
-    """One metrics row per horizon over windows that are built once each."""
-    out = None
-    for h in (1, 3, 6):
-        w = models.flatten_windows(_windows(spark, d, h)).withColumn("train", evaluate.hash_split(F.col("stay_id"))).persist()
-        m = evaluate.ranking_metrics(models.scores(models.logistic(w.where("train")), w.where("NOT train")), "score", "y").withColumn("horizon", F.lit(h))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Tasks x models x treatments over the trajectories: one result row each."""
+    t = _t(spark, d)
+    los = table(spark, d, "icustays").groupBy("stay_id").agg(F.min("los").alias("los"))
+    traj = _composite(t.fixed()).join(los, "stay_id", "left").drop("timestamp", "hours_in")
+    tasks = {
+        "event_ahead": Task("temporal", (F.col("score") >= 2).cast("int")),
+        "event_at_end": Task("static", (F.col("score") >= 2).cast("int")),
+        "length_of_stay": Task("static", "los", numeric=True),
+    }
+    return experiments.run_grid(traj, tasks, "stay_id", "timestep", treatments=("fluid_step", "fluid_total", "rate_median", "rate_max", "n_drugs"), never=("score", "los"))
 
 
 @query("SELECT doc_id, length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS n, md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS h FROM documents WHERE text IS NOT NULL")

@@ -41,9 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+_MADE: list[tuple[str, str | None]] = []  # paths of intermediates, with the table that lies there
+
+
+def scratch_path(spark: SparkSession, name: str, table: str | None = None) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((path, table))
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete all intermediates written so far, and their tables; how many. Results that were not collected or written yet need them: call it
+    when a query's result is safe."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path, table = _MADE.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return n
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -72,6 +91,6 @@ def bucketed(df: DataFrame, name: str, *keys: str, partition_by: str | None = No
     """
     spark = df.sparkSession
     table, n = f"{name}_{uuid.uuid4().hex}", width(spark)
-    w = (df if hashed else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", scratch_path(spark, name))
+    w = (df if hashed else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", scratch_path(spark, name, table))
     (w.partitionBy(partition_by) if partition_by else w).saveAsTable(table)
     return spark.table(table)
