@@ -56,3 +56,12 @@ def test_intermediates_can_be_dropped(spark):
 def test_nan_is_null(spark):
     df = tables.nan_to_null(spark.createDataFrame([(float("nan"), "a"), (1.0, "b")], "x DOUBLE, s STRING"))
     assert df.where(F.col("x").isNull()).count() == 1
+
+
+def test_jdbc_in_ranges(spark):
+    """The database that comes with Spark, in memory."""
+    url, driver = "jdbc:derby:memory:readings;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(1, 101).selectExpr("id", "id % 7 AS g").write.jdbc(url, "readings", properties={"driver": driver})
+    whole = tables.read_jdbc(spark, url, 'SELECT "id", "g" FROM readings WHERE "g" < 3', driver=driver)
+    parts = tables.read_jdbc(spark, url, 'SELECT "id", "g" FROM readings WHERE "g" < 3', key="id", bounds=(1, 100), parts=4, driver=driver)
+    assert parts.rdd.getNumPartitions() == 4 and sorted(r.id for r in whole.collect()) == sorted(r.id for r in parts.collect()) == [k for k in range(1, 101) if k % 7 < 3]
