@@ -21,6 +21,7 @@ UNITS = ("mg", "g", "kg", "ml", "l", "mm", "cm", "m", "km", "s", "min", "h", "us
 ANCHOR = 4  # words in a row that tie a part of an item to a page beyond a foreign line
 FEWEST = 6  # words of an unbroken half that need no rarity
 PLAIN, HELD = 0.7, 0.85  # shares that alignments of shared phrases don't reach: of words left, and with slots filled anew
+SLOT = 3.0  # names and numbers that are left tell a copy from a chance alignment
 GAPS = 3  # a window is two words at most so far apart: what stands between them may differ
 BITS = 1 << 24  # of a bitmap of hashes: what is broadcast never grows
 CHARS = 1_000_000  # characters of pages worked on at a time
@@ -264,7 +265,7 @@ def judge(item: list[str], page: list[str], weight: list[float], slots: set[int]
 
 def leaked_items(
     pages: DataFrame, items: DataFrame, page_id: str = "doc_id", page_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least_share: float = 0.5, sure: float = 0.7, common: float = 0.005, enough: float = 1.0, share_m: float = 0.15,
+    least_share: float = 0.5, sure: float = 0.6, common: float = 0.005, enough: float = 1.0, share_m: float = 0.15,
 ) -> DataFrame:
     """Pages that hold an item's wording, whole or at least half of its words in order in one passage.
 
@@ -280,7 +281,7 @@ def leaked_items(
     the whole page by parts of four unbroken words, where a foreign line of any length may lie between.
     A case has at least `least_share` of the item's words in order. Phrases that pages of a language share reach that by chance, so one of
     these must hold besides: half of the item unbroken; 0.7 of the words; `sure` of the rarity of its words (inverse page
-    frequency over all pages; a slot counts as the rarest plain word), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew is a case from 0.85 of
+    frequency over all pages; a slot counts SLOT times its rarest plain word), or `least_share` of it with a run of 0.4 of the item. An item whose slots are filled anew is a case from 0.85 of
     the words, a slot counting only if it is filled alike wherever the item repeats it.
 
     Items of fewer than four words are never found. NULL ids or texts match nothing; repeated pages are rows of their own,
@@ -300,11 +301,11 @@ def leaked_items(
     page = folded.where("kind = 0").select(F.col("id").alias("doc_id"), "folded")
     total = page.count()
     count = lambda kind: folded.where(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n"))
-    # rarity of the words of the items; slots count as the item's rarest plain word
+    # rarity of the words of the items; a slot counts SLOT times as much as the item's rarest plain word
     rare = F.when(F.col("plain"), F.log((F.lit(total) + 2) / (F.coalesce("n", F.lit(0)) + 1)))
     known = lexicon.join(count(1).withColumnRenamed("id", "h"), "h", "left").select("w", "n", F.lit(True).alias("plain"))
     item = each.join(known, "w", "left").withColumns({"plain": F.coalesce("plain", F.lit(False)), "weight": rare})
-    item = item.withColumn("weight", F.coalesce("weight", F.max("weight").over(Window.partitionBy("item_id")), F.lit(1.0)))
+    item = item.withColumn("weight", F.coalesce("weight", SLOT * F.max("weight").over(Window.partitionBy("item_id")), F.lit(1.0)))
     item = materialise(item.groupBy("item_id").agg(ordered("w", "weight", "plain").alias("x"), F.count("*").alias("m")), "items")
     # which windows make pairs
     seen = wins.join(count(2).withColumnRenamed("id", "win"), "win", "left").join(item.select("item_id", "m"), "item_id")
