@@ -3,7 +3,7 @@ import time
 
 import numpy as np
 
-from tidegrid.operators.intervals import merge_lists, periods_and_pauses
+from tidegrid.operators.intervals import merge_runs, periods_and_pauses
 
 SCHEMA = "stay BIGINT, a DOUBLE, z DOUBLE, _e STRING, s STRING, _block BIGINT"
 
@@ -53,16 +53,19 @@ def test_empty(spark):
     assert p.count() == 0 and g.count() == 0
 
 
-def test_linear_merge_of_sorted_lists():
+def test_merge_of_sorted_runs():
     rng = np.random.default_rng(1)
-    lists, rows = [], []
-    for n in (0, 1, 5, 40, 7):
-        s = np.sort(rng.choice(500, n, replace=False)).astype(float) * 10
-        z = s + rng.integers(1, 10, n)
-        lists.append((s, z))
-        rows += [(1, float(a), float(b)) for a, b in zip(s, z)]
-    s, z = merge_lists(lists)
-    assert {(1, a, b) for a, b in zip(s.tolist(), z.tolist())} == brute(rows)[0]
+    g, s, z, rows = [], [], [], []
+    for k, runs in enumerate(((0, 5), (40, 7, 1), (3,))):
+        for n in runs:
+            a = np.sort(rng.choice(500, n, replace=False)).astype(float) * 10
+            e = a + rng.integers(1, 30, n)
+            g, s, z = [*g, *[k] * n], [*s, *a], [*z, *e]
+            rows += [(k, float(x), float(y)) for x, y in zip(a, e)]
+    got = merge_runs(np.array(g), np.array(s), np.array(z))
+    assert list(zip(*(x.tolist() for x in got))) == sorted(brute(rows)[0])
+    none = np.zeros(0)
+    assert [len(x) for x in merge_runs(none.astype(int), none, none)] == [0, 0, 0]
 
 
 def test_many_intervals_of_one_entity_in_one_block(spark):

@@ -5,69 +5,61 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import starts, whole_groups
+from ..functions.arrow import columns, starts, whole_groups
 from ..session import materialise, width
 
 LISTS = "_e STRING, _block BIGINT, _node INT, _s ARRAY<DOUBLE>, _z ARRAY<DOUBLE>"
 
 
-def _disjoint(s: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over intervals sorted by start: disjoint ones; touching ones join."""
-    if not len(s):
-        return s, z
-    reach = np.maximum.accumulate(z)
-    new = np.flatnonzero(np.append(True, s[1:] > reach[:-1]))
-    return s[new], reach[np.append(new[1:], len(s)) - 1]
+def merge_runs(g: np.ndarray, s: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted disjoint intervals (group, start, end) of all groups at once; touching ones join.
 
+    g is numbered and consecutive; each group is one run sorted by start, or several one after the other. The stable sort finds the runs and
+    merges them, which is linear for two; what is in order already costs one comparison an interval. Then one pass over running ends."""
+    order = np.lexsort((s, g))
+    g, s, z = g[order], s[order], z[order]
+    reach = pd.Series(z).groupby(g, sort=False).cummax().to_numpy()
+    new = np.ones(len(s), bool)
+    new[1:] = (g[1:] != g[:-1]) | (s[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return g[at], s[at], reach[np.append(at[1:], len(s)) - 1] if len(at) else reach
 
-def merge_lists(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Linear merge of sorted disjoint lists, two at a time: positions in the merged list by one search, no sorting."""
-    while len(lists) > 1:
-        merged = []
-        for (a, az), (b, bz) in zip(lists[::2], lists[1::2], strict=False):
-            s, z = np.empty(len(a) + len(b)), np.empty(len(a) + len(b))
-            at = np.arange(len(a)) + np.searchsorted(b, a, side="left")
-            rest = np.ones(len(s), bool)
-            rest[at] = False
-            s[at], z[at] = a, az
-            s[rest], z[rest] = b, bz
-            merged.append(_disjoint(s, z))
-        lists = merged + (lists[-1:] if len(lists) % 2 else [])
-    return lists[0]
 
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    e, b, n, s, z = zip(*rows, strict=True)
-    lists = [pa.array(x, pa.list_(pa.float64())) for x in (s, z)]
-    return pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), *lists], names=["_e", "_block", "_node", "_s", "_z"])
+def _batch(c: dict[str, np.ndarray], first: np.ndarray, g: np.ndarray, s: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    """One list per group; first: where the groups begin in c."""
+    g, s, z = merge_runs(g, s, z)
+    offsets = pa.array(np.searchsorted(g, np.arange(len(first) + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (s, z)]
+    return pa.RecordBatch.from_arrays([pa.array(c["_e"][first], pa.string()), pa.array(c["_block"][first], pa.int64()), pa.array(c["_node"][first], pa.int32()), *lists], names=["_e", "_block", "_node", "_s", "_z"])
 
 
 def _leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of sorted rows; a part of more rows gives several lists."""
+    """Lists of sorted rows; a node whose rows come in several batches gives several lists."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        e, b, n, s, z = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_e", "_block", "_node", "s", "z"))
-        at = np.flatnonzero(starts(e, b, n))
-        yield _batch([(e[f], b[f], n[f], *_disjoint(s[f:t], z[f:t])) for f, t in zip(at, np.append(at[1:], len(s)), strict=True)])
+        if batch.num_rows:
+            c = columns([batch])
+            new = starts(c["_e"], c["_block"], c["_node"])
+            yield _batch(c, np.flatnonzero(new), np.cumsum(new) - 1, c["s"], c["z"])
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One list per node from its lists."""
     for c in whole_groups(batches, ("_e", "_block", "_node")):
-        at = np.flatnonzero(starts(c["_e"], c["_block"], c["_node"]))
-        yield _batch([(c["_e"][f], c["_block"][f], c["_node"][f], *merge_lists(list(zip(c["_s"][f:t], c["_z"][f:t], strict=True)))) for f, t in zip(at, np.append(at[1:], len(c["_e"])), strict=True)])
+        new = starts(c["_e"], c["_block"], c["_node"])
+        g = np.repeat(np.cumsum(new) - 1, [len(x) for x in c["_s"]])
+        yield _batch(c, np.flatnonzero(new), g, np.concatenate(c["_s"]), np.concatenate(c["_z"]))
 
 
 def disjoint_lists(df: DataFrame, entity: str, start: str, end: str, block_s: float = 86400.0, salts: int = 8, fan_in: int = 4) -> DataFrame:
     """The mergeable aggregate: per entity and block of start times, one sorted list of disjoint intervals.
 
-    Equal starts collapse first (map-side); partial lists are built per salt from sorted rows in one pass and combined by linear merges,
-    fan_in salts at a time, until one is left per block. A list never outgrows its block of time, however many rows an entity has.
+    Equal starts collapse first (map-side); partial lists are built per salt from sorted rows in one pass and combined by merging
+    sorted runs, fan_in salts at a time, until one is left per block. A list never outgrows its block of time, however many rows an entity has.
     Result: _e (the entity as text), _block, _s, _z (starts and ends).
     """
     n = width(df.sparkSession)
