@@ -45,6 +45,20 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> It
         yield columns(held)
 
 
+def gathered(groups: Iterable[dict[str, np.ndarray]], rows: int) -> Iterator[dict[str, np.ndarray]]:
+    """Column arrays put together until they have `rows` rows."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for c in groups:
+        held.append(c)
+        size += len(next(iter(c.values())))
+        if size >= rows:
+            yield {k: np.concatenate([h[k] for h in held]) for k in c}
+            held, size = [], 0
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+
+
 def pieces(batches: Iterable[pa.RecordBatch], group: tuple[str, ...], row: tuple[str, ...], rows: int) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
     """(columns, first group may have begun before, last one may go on) of about `rows` sorted rows at a time.
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import pieces, starts, whole_groups
+from ..functions.arrow import gathered, pieces, starts, whole_groups
+from ..functions.pursuit import low_rank
 from ..session import broadcast_if_small, materialise, width
 
 S = ("src", "e", "i")  # a source
@@ -21,49 +22,70 @@ SIDE = 7  # readings on either side that make the level around a reading: more t
 POINTS = 256  # quantiles that stand for the residuals of a part of a source
 
 
-def daily_profile(r: DataFrame, least_days: int = 4, beyond: float = 3.0, ridge: float = 3.0) -> DataFrame:
+def daily_profile(r: DataFrame, least_days: int = 4, errors: float = 3.0) -> DataFrame:
     """Low-rank normal behaviour of every source's matrix of days by times of day: (src, e, i, day, slot, p), where p is not 0.
 
-    Each day is centred on its median (the first component: a level per day). The second component is fitted in two robust steps: the
-    loading of a time of day is the median over its days, so what stands on single days is sparse and stays out; the score of a
-    day is the ridge slope of its centred values on the loadings, each value's share bounded to twice the loading and drawn towards 1.
-    A loading counts if at least least_days days have that time and more than half of them lie, on one side, more than `beyond` deviations
-    of their day (at least step) off; others are 0. The test is one of counts, so no median is taken where it can't hold.
+    Robust principal components of each whole source. The matrix is centred on the medians of days and of times of day, in turn; the level of
+    a day is no part of p, the centre of a time of day is, if more than half of its days lie more than `errors` standard errors off. What is left is split into a
+    low-rank part (as many components as stand out of the scatter, scores of either sign), a sparse part and scatter (functions/pursuit.py).
+    Only times with at least least_days days and days of more than two cells count. A source is fitted in one task, as sparse cells.
     """
-    cells = r.groupBy(*S, "day", "slot").agg(F.avg("v").alias("z"), F.max("step").alias("step"))
-    # the cells of a day are as many as its times of day
-    cells = cells.repartition(width(r.sparkSession), *S, "day").sortWithinPartitions(*S, "day")
-    days = materialise(cells.select(*S, "day", "slot", "z", "step").mapInArrow(_centred(beyond), "src INT, e BIGINT, i BIGINT, day BIGINT, slot BIGINT, z DOUBLE, far DOUBLE"), "days")
-    side = lambda s: F.sum((F.col("z") * s > F.col("far")).cast("int"))
-    often = days.groupBy(*S, "slot").agg(F.count("*").alias("n"), F.greatest(side(1), side(-1)).alias("m"))
-    often = materialise(often.where((F.col("n") >= least_days) & (F.col("m") * 2 > F.col("n"))).select(*S, "slot"), "often")
-    loads = days.join(broadcast_if_small(often, 20_000), [*S, "slot"]).groupBy(*S, "slot").agg(F.percentile_approx("z", 0.5, 1000).alias("w"))
-    loads = materialise(loads, "loads")
-    cell = days.join(broadcast_if_small(loads, 20_000), [*S, "slot"])
-    w = F.abs("w")
-    part = F.least(F.greatest(F.col("z") * F.signum("w"), F.lit(0.0)), 2 * w)
-    scores = cell.groupBy(*S, "day").agg(F.try_divide(F.sum(part * w) + ridge * F.avg(w * w), F.sum(w * w) + ridge * F.avg(w * w)).alias("u"))
-    return materialise(scores.join(loads, list(S)).select(*S, "day", "slot", (F.col("u") * F.col("w")).alias("p")), "profile")
-
-
-def _centred(beyond: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cells less the median of their day, and what lies far from it: `beyond` deviations of the day, at least step. Days of one or two
-    cells have no profile."""
+    # the shuffle by source also serves the cells
+    cells = r.select(*S, "day", "slot", "v", "step").repartition(width(r.sparkSession), *S).groupBy(*S, "day", "slot").agg(F.avg("v").alias("z"), F.max("step").alias("step"))
+    cells = cells.sortWithinPartitions(*S, "day", "slot")
+    return materialise(cells.mapInArrow(_profiles(least_days, errors), "src INT, e BIGINT, i BIGINT, day BIGINT, slot BIGINT, p DOUBLE"), "profile")
 
+
+def _profiles(least_days: int, errors: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_groups(batches, (*S, "day")):
-            first = starts(*(c[k] for k in S), c["day"])
-            g = np.cumsum(first) - 1
-            n = np.bincount(g)
-            z = c["z"] - _group_median(g, n, c["z"])[g]
-            far = beyond * np.maximum(c["step"], 1.4826 * _group_median(g, n, np.abs(z))[g])
-            ok = (n > 2)[g]
-            out = [pa.array(c["src"][ok], pa.int32()), *[pa.array(c[k][ok], pa.int64()) for k in ("e", "i", "day", "slot")], pa.array(z[ok]), pa.array(far[ok])]
-            yield pa.RecordBatch.from_arrays(out, names=[*S, "day", "slot", "z", "far"])
+        for c in gathered(whole_groups(batches, S), PIECE):
+            p = profile(c, least_days, errors)
+            ok = p != 0
+            out = [pa.array(c["src"][ok], pa.int32()), *[pa.array(c[k][ok], pa.int64()) for k in ("e", "i", "day", "slot")], pa.array(p[ok])]
+            yield pa.RecordBatch.from_arrays(out, names=[*S, "day", "slot", "p"])
 
     return run
 
 
+def profile(c: dict[str, np.ndarray], least_days: int, errors: float) -> np.ndarray:
+    """p of each cell; c: cells of whole sources, sorted by source, day and slot."""
+    p, z = np.zeros(len(c["z"])), c["z"].copy()
+    source, slot = np.cumsum(starts(*(c[k] for k in S))) - 1, c["slot"]
+    day = np.cumsum(starts(source, c["day"])) - 1
+    n = np.bincount(day)
+    z -= _group_median(day, n, z)[day]
+    use = np.flatnonzero((n > 2)[day] & (np.abs(z) < 1e150))
+    at = _numbered(source[use], slot[use])
+    use = use[(np.bincount(at) >= least_days)[at]]
+    if not len(use):
+        return p
+    z, source, day, slot = z[use], np.cumsum(starts(source[use])) - 1, np.cumsum(starts(day[use])) - 1, _numbered(source[use], slot[use])
+    n, n_day, n_slot = np.bincount(source), np.bincount(day), np.bincount(slot)
+    of_day, of_slot = source[starts(day)], np.zeros(len(n_slot), int)
+    of_slot[slot] = source
+    by_slot, centre = np.lexsort((slot,)), np.zeros(len(n_slot))
+    for _ in range(2):
+        z -= _group_median(day, n_day, z, True)[day]
+        off = _group_median(slot[by_slot], n_slot, z[by_slot], True)
+        z -= off[slot]
+        centre += off
+    # the medians taken off hide some of the scatter
+    free = np.maximum(n - np.bincount(of_day) - np.bincount(of_slot) + 1, n / 2)
+    sigma = np.maximum(1.4826 * _group_median(source, n, np.abs(z)) * np.sqrt(n / free), np.maximum.reduceat(c["step"][use], np.flatnonzero(starts(source))))
+    sigma = np.where(sigma > 0, sigma, 0.05 * np.sqrt(np.bincount(source, z * z) / n))
+    normal = np.where(np.abs(centre) > errors * 1.2533 * sigma[of_slot] / np.sqrt(n_slot), centre, 0.0)
+    p[use] = normal[slot] + low_rank(day, slot, of_day, of_slot, z + (centre - normal)[slot], sigma)
+    return p
+
+
+def _numbered(source: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that occur, in their order."""
+    at = np.lexsort((slot, source))
+    out = np.empty(len(at), int)
+    out[at] = np.cumsum(starts(source[at], slot[at])) - 1
+    return out
+
+
 def _medians(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Median of each row without NaN, and how many values it has."""
     k = (~np.isnan(a)).sum(1)
@@ -73,11 +95,12 @@ def _medians(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(k > 0, (s[at, (top - 1) // 2] + s[at, top // 2]) / 2, np.nan), k
 
 
-def _group_median(g: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Median of x per group; groups are numbered and consecutive."""
+def _group_median(g: np.ndarray, n: np.ndarray, x: np.ndarray, majority: bool = False) -> np.ndarray:
+    """Median of x per group; groups are numbered and consecutive. majority: what no more than half of x exceed, on either side of 0."""
     s = x[np.lexsort((x, g))]
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    return (s[first + (n - 1) // 2] + s[first + n // 2]) / 2
+    a, b = s[first + (n - 1) // 2], s[first + n // 2]
+    return np.maximum(a, 0) + np.minimum(b, 0) if majority else (a + b) / 2
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -162,8 +185,8 @@ def flag_readings(rows: DataFrame, k: float = 6.0, longest: int = 3, stuck: int
     """Readings that are spikes, stuck or out of range, one row each.
 
     rows: src INT, rid, e, i (source = src, e, i), t (seconds), v, step (smallest reported step), period (usual seconds between readings).
-    The readings of a source by days and times of day form a matrix; its low-rank part (a level per day and a daily profile, fitted
-    robustly, see daily_profile) is normal behaviour, the rest is sparse. The day's level is followed closer: it is that of the seven
+    The readings of a source by days and times of day form a matrix; its low-rank part (a level per day, a centre per time of day and
+    robust principal components, see daily_profile) is normal behaviour, the rest is sparse. The day's level is followed closer: it is that of the seven
     readings on either side, less their profile. spike: the sparse part lies apart from that level on both sides by more than k times the
     source's scatter (its median absolute residual, drawn towards the item's usual one in short series, at least `step`) for at most
     `longest` readings in a row. stuck: the reading belongs to a run of `stuck` or more consecutive equal readings. out_of_range: it lies
